@@ -65,9 +65,7 @@ def money_matches(text: Column) -> Column:
 
 def money_values(text: Column) -> Column:
     """Like money_matches, but only for lines that carry a money marker."""
-    marked = F.lit(False)
-    for marker in MONEY_MARKERS:
-        marked = marked | text.contains(marker)
+    marked = text.rlike("|".join(f"\\Q{m}\\E" for m in MONEY_MARKERS))
     return F.when(marked, money_matches(text)).otherwise(F.array().cast("array<string>"))
 
 

@@ -34,10 +34,13 @@ def let(value: Column, body) -> Column:
 
 
 def any_term(text: Column, terms) -> Column:
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | text.contains(term)
-    return hit
+    """True if a text holds any of the terms; one expression, however many terms."""
+    words = list(terms)
+    if not words:
+        return F.lit(False)
+    if len(words) == 1:
+        return text.contains(words[0])
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def all_terms(text: Column, terms) -> Column:
@@ -86,24 +89,18 @@ def _single_char_folds() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _residual_class() -> str:
-    """A character class of what a one-to-one fold cannot settle."""
-    ranges: list[list[int]] = []
+def _residual_chars() -> str:
+    """Characters a one-to-one fold cannot settle: expansions and combining marks."""
+    chars = []
     for point in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)
         folded = unicodedata.normalize("NFKC", char)
         plain_fold = len(folded) == 1 and point < 0x10000 and ord(folded) < 0x10000
-        unsettled = (folded != char and not plain_fold) or unicodedata.combining(char) or (
-            0x1160 <= point <= 0x11FF
-        )
-        if unsettled:
-            if ranges and ranges[-1][1] == point - 1:
-                ranges[-1][1] = point
-            else:
-                ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+        if (folded != char and not plain_fold) or unicodedata.combining(char) or 0x1160 <= point <= 0x11FF:
+            chars.append(char)
+    return "".join(chars)
 
 
 @F.pandas_udf(StringType())
@@ -111,20 +108,24 @@ def _full_nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def fold_width(text: Column) -> Column:
     """Compatibility folding of every one-to-one code point, inside the JVM."""
     source, target = _single_char_folds()
-    return F.translate(text, source, target)
+    return F.when(_is_ascii(text), text).otherwise(F.translate(text, source, target))
 
 
 def needs_full_nfkc(text: Column) -> Column:
-    return text.rlike(_residual_class())
+    without = F.translate(text, _residual_chars(), "")
+    return ~_is_ascii(text) & (F.char_length(without) < F.char_length(text))
 
 
 def nfkc(text: Column) -> Column:
     """Compatibility normal form; Python sees only rows a one-to-one fold cannot settle."""
-    residual = needs_full_nfkc(text)
-    return F.coalesce(_full_nfkc(F.when(residual, text)), fold_width(text))
+    return F.coalesce(_full_nfkc(F.when(needs_full_nfkc(text), text)), fold_width(text))
 
 
 # ---- predicates ----------------------------------------------------------

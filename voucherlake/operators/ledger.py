@@ -282,16 +282,16 @@ def project_output(rows: DataFrame, table: str = "detail", headers: bool = False
     return rows.select(*columns)
 
 
-def number_rows(rows: DataFrame, order: list[str], start: Column | int = 0, width: int = 1_000_000) -> DataFrame:
+def number_rows(rows: DataFrame, order: list[str], start: Column | int = 0, documents: int = 10_000, lines: int = 1_000_000) -> DataFrame:
     """Continue a row sequence without a global window.
 
     `order[0]` is the numeric document position and `order[1]` the numeric line
-    position. Rows fall into cells of `width` documents and `width` lines; cells are
+    position. Rows fall into cells of `documents` documents and `lines` lines; cells are
     numbered inside, and a table with one row per cell carries the offsets. A document
-    of more than `width` lines spreads over several cells.
+    of more than `lines` lines spreads over several cells.
     """
-    celled = rows.withColumn("_cell", F.floor(F.col(order[0]) / width)).withColumn(
-        "_strip", F.floor(F.col(order[1]) / width))
+    celled = rows.withColumn("_cell", F.floor(F.col(order[0]) / documents)).withColumn(
+        "_strip", F.floor(F.col(order[1]) / lines))
     counts = celled.groupBy("_cell", "_strip").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_cell", "_strip").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -96,13 +96,14 @@ def last_before(
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of every group, by a partial aggregate instead of a window."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
+    """The first row of every group.
+
+    The rank filter is applied on the map side too, so each task sends one row per group.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

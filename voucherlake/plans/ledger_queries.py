@@ -10,6 +10,7 @@ from voucherlake.functions import money as M
 from voucherlake.functions import review as R
 from voucherlake.operators import checks, dedup, ledger, notices, ordered, pages, reports, routes, vat
 from voucherlake.plans import fixtures as fx
+from voucherlake.session import staged
 from voucherlake.plans.registry import INVOICES_SQL, LINES_SQL, RECONCILED_SQL, SUMS_SQL, key_sql, query
 
 RUN = "run-1"
@@ -122,7 +123,7 @@ def output_rows(spark, sf):
 
 @query("row_numbers", f"""
 WITH {LINES_SQL}
-SELECT l_orderkey, line_no, l_partkey, line_amount, 1000 + row_number() OVER (ORDER BY l_orderkey // 1000000, line_no // 1000000, l_orderkey,
+SELECT l_orderkey, line_no, l_partkey, line_amount, 1000 + row_number() OVER (ORDER BY l_orderkey // 10000, line_no // 1000000, l_orderkey,
   {LINE_ORDER_SQL}) AS row_sequence FROM lines""")
 def row_numbers(spark, sf):
     numbered = ledger.number_rows(fx.lines(spark, sf), ["l_orderkey", *LINE_ORDER], 1000)
@@ -370,7 +371,7 @@ def _history(spark, sf):
 
     order = F.substring("unit_id", 6, 20).cast("bigint")
     numbered = ledger.number_rows(prepare(before).withColumn("doc", order), ["doc", "line_no", "invoice_line_key"])
-    return numbered, prepare(batch).withColumn("doc", order)
+    return staged(numbered, "ledger"), staged(prepare(batch).withColumn("doc", order), "batch")
 
 
 BATCH_ORDER = ["doc", "line_no", "invoice_line_key"]
