@@ -33,7 +33,7 @@ def neighbours(
     """
     pos = F.col(position)
     home = _chunk(position, size)
-    homes = F.array_distinct(F.array(home, _floor(pos - after, size), _floor(pos + before, size)))
+    homes = F.sequence(_floor(pos - after, size), _floor(pos + before, size))
     spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(homes))
     ordered = Window.partitionBy(*keys, "_chunk").orderBy(position)
     framed = spread

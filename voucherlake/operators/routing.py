@@ -86,7 +86,8 @@ def variant_of(rule: dict, hit: Test) -> Column:
 
 def _decide(df: DataFrame, rules: dict[str, dict], hit: Test, exact: Test, fallback: str | None) -> DataFrame:
     names = [s for s in rules if s != fallback]
-    scored = F.array(*[
+    no_match = F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit(None).cast("string").alias("schema_id"))
+    scored = F.array(no_match, *[
         F.struct(match_score(rules[s], hit, exact).alias("score"), F.lit(-pos).alias("order"), F.lit(s).alias("schema_id"))
         for pos, s in enumerate(names)])
     decided = df.withColumn("_best", F.array_max(scored))
