@@ -159,7 +159,7 @@ def standard_docs(spark, sf) -> DataFrame:
 
 
 STANDARD_SQL = f"""
-WITH o AS (SELECT *, {TOTAL_SQL} AS a, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.00 ELSE round({TOTAL_SQL} * 13 / 100, 2) END::DECIMAL(18,2) AS t FROM orders),
+WITH o AS (SELECT *, {TOTAL_SQL} AS a, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.00 ELSE CAST(round({TOTAL_SQL} * CAST(0.13 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) END::DECIMAL(18,2) AS t FROM orders),
 std AS (SELECT *, CAST(a + t AS DECIMAL(18,2)) AS w, lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS no, '91B' || lpad(CAST(o_custkey AS VARCHAR), 15, '0') AS bid,
   {han_sql('o_custkey')} || '有限公司' AS bname, '*商品*' || {han_sql('o_custkey')} || CASE WHEN o_orderpriority = '2-HIGH' THEN '续名' ELSE '' END AS item FROM o)
 """
