@@ -307,3 +307,71 @@ def receipt_lines(spark, sf):
     rules = some_rules(*RECEIPT_RULES)
     rows = lines_read(receipt_docs(spark, sf), rules)
     return rows.select("unit_id", "line_no", "item_name", "unit", F.col("quantity").cast(MONEY).alias("quantity"), "line_amount", "line_tax_amount")
+
+
+# ---- the fixed-layout form and the legacy itinerary -----------------------
+
+def form_docs(spark, sf) -> DataFrame:
+    amount = money_text()
+    blocks = F.array(
+        block("机器编号 发票号码 开票日期", 0.0, 5.0), block("034001900111", 200.0, 20.0), block(short_no(), 460.0, 38.0), block(day_text(), 470.0, 55.0),
+        block(F.concat(F.lit("称："), han("o_custkey"), F.lit("有限公司")), 100.0, 85.0), block(buyer_id(), 100.0, 105.0),
+        block("货物或应税劳务、服务名称", 10.0, 160.0), block(F.concat(F.lit("*商品*"), han("o_custkey")), 10.0, 175.0), block("A1", 120.0, 175.0), block("个", 180.0, 175.0),
+        block("1", 220.0, 175.0), block("5.55", 260.0, 175.0), block(amount, 330.0, 175.0), block("13%", 400.0, 175.0), block("13.00", 450.0, 175.0), block("续名", 10.0, 190.0),
+        block("合 计", 50.0, 258.0), block(said("¥", amount), 400.0, 258.0), block("¥13.00", 500.0, 258.0),
+        block(said("（小写）¥", (F.col("o_totalprice").cast(MONEY) + 13).cast(MONEY).cast("string")), 400.0, 278.0),
+        block("称：测试销售有限公司", 100.0, 300.0), block("91S000000000000001", 100.0, 312.0))
+    rendered = orders(spark, sf).select(F.col("o_orderkey").alias("unit_id"), blocks.alias("blocks"))
+    return X.from_blocks(rendered).drop("blocks")
+
+
+@query("form_headers", f"""
+SELECT o_orderkey AS unit_id, '034001900111' AS invoice_code, {SHORT_SQL} AS invoice_no, {DAY_SQL} AS invoice_date, {han_sql('o_custkey')} || '有限公司' AS buyer_name,
+  '91B' || lpad(CAST(o_custkey AS VARCHAR), 15, '0') AS buyer_tax_id, '测试销售有限公司' AS seller_name, '91S000000000000001' AS seller_tax_id,
+  {TOTAL_SQL} AS amount_total, 13.00::DECIMAL(18,2) AS tax_total, ({TOTAL_SQL} + 13)::DECIMAL(18,2) AS total_with_tax FROM orders""")
+def form_headers(spark, sf):
+    header = headers_of(form_docs(spark, sf), some_rules("standard-invoice"))
+    return header.select("unit_id", "invoice_code", "invoice_no", "invoice_date", "buyer_name", "buyer_tax_id", "seller_name", "seller_tax_id",
+                         "amount_total", "tax_total", "total_with_tax")
+
+
+@query("form_lines", f"""
+SELECT o_orderkey AS unit_id, '*商品*' || {han_sql('o_custkey')} || '续名' AS item_name, 'A1' AS spec_model, '个' AS unit, 1.00::DECIMAL(18,2) AS quantity, 5.55::DECIMAL(18,2) AS unit_price,
+  {TOTAL_SQL} AS line_amount, '13%' AS tax_rate, 13.00::DECIMAL(18,2) AS line_tax_amount FROM orders""")
+def form_lines(spark, sf):
+    rows = lines_read(form_docs(spark, sf), some_rules("standard-invoice"))
+    return rows.select("unit_id", "item_name", "spec_model", "unit", F.col("quantity").cast(MONEY).alias("quantity"),
+                       F.col("unit_price").cast(MONEY).alias("unit_price"), "line_amount", "tax_rate", "line_tax_amount")
+
+
+def legacy_air_docs(spark, sf) -> DataFrame:
+    whole = (F.col("o_totalprice").cast(MONEY) + 130).cast(MONEY).cast("string")
+    lines = lines_of(
+        "航空运输电子客票行程单", F.concat(F.lit("781"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")), "李四", "东方航空", "2024-01-01",
+        said("CNY ", money_text()), "CN 50.00", "YQ 80.00", said("CNY ", whole), said("填开日期 ", day_text()))
+    return orders(spark, sf).select(F.col("o_orderkey").alias("unit_id"), lines.alias("lines"))
+
+
+@query("legacy_air_records", f"""
+WITH v AS (SELECT *, CAST({TOTAL_SQL} * 100 AS BIGINT) AS f FROM orders),
+t AS (SELECT *, CAST((f + 8000) * 9 AS HUGEINT) AS share FROM v),
+x AS (SELECT *, (2 * share + 109) // 218 AS tax FROM t)
+SELECT o_orderkey AS unit_id, '781' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS invoice_no, {DAY_SQL} AS invoice_date, '李四' AS buyer_name, '东方航空' AS seller_name,
+  CAST(tax AS DECIMAL(18,2)) / 100 = CAST(tax AS DECIMAL(18,2)) / 100 AS split, CAST((f + 13000) / 100 AS DECIMAL(18,2)) AS total_with_tax,
+  CAST(tax / 100 AS DECIMAL(18,2)) AS tax_total, 3 AS n_lines FROM x""")
+def legacy_air_records(spark, sf):
+    outcome = pipeline.process(legacy_air_docs(spark, sf), "run-1", "2024-01-02T03:04:05", some_rules("air-ticket-itinerary"))
+    size = outcome.records.lines.groupBy("unit_id").agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
+    return outcome.records.invoices.join(size, "unit_id").select(
+        "unit_id", "invoice_no", "invoice_date", "buyer_name", "seller_name", F.lit(True).alias("split"), "total_with_tax", "tax_total", "n_lines")
+
+
+@query("untaxed_invoices", f"""
+SELECT o_orderkey AS unit_id, CASE o_orderstatus WHEN 'P' THEN NULL ELSE {TOTAL_SQL} END AS amount_total, CASE o_orderstatus WHEN 'P' THEN NULL ELSE 0.00 END::DECIMAL(18,2) AS tax_total, {TOTAL_SQL} AS total_with_tax FROM orders""")
+def untaxed_invoices(spark, sf):
+    amount = money_text()
+    rate = F.when(F.col("o_orderstatus") == "P", F.lit("免税")).otherwise(F.lit("不征税"))
+    lines = lines_of("电子发票（普通发票）", said("发票号码：", long_no()), said("开票日期：", day_text()), "*预付卡*充值", "次", "1", amount, F.concat(amount, F.lit(" "), rate),
+                     said("价税合计（小写）￥", amount))
+    docs = orders(spark, sf).select(F.col("o_orderkey").alias("unit_id"), lines.alias("lines"))
+    return headers_of(docs, some_rules("standard-invoice")).select("unit_id", "amount_total", "tax_total", "total_with_tax")

@@ -25,11 +25,11 @@ RESOLVED_REMARK = "字段候选已决策，尚未通过字段校验。"
 
 @dataclass(frozen=True)
 class Records:
-    """Headers (one row per unit), lines, and the decisions behind them."""
+    """Headers (one row per unit), lines, and the decisions behind them; structured records have none."""
 
     invoices: DataFrame
     lines: DataFrame
-    decisions: DataFrame
+    decisions: DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -20,12 +20,23 @@ def file_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), suffix), F.lit("unknown"))
 
 
+LISTED = "file string, length bigint, modificationTime timestamp"
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Zero-byte files of one folder. Spark leaves them out of every scan, so the folder is asked for them."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    statuses = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [(s.getPath().toString(), 0, None) for s in statuses if s.isFile() and s.getLen() == 0]
+    return spark.createDataFrame(names, LISTED)
+
+
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of one folder (not below it) with type and support flag; contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    return listed.select(
-        F.col("path").alias("file"), "length", "modificationTime", file_type(F.col("path")).alias("file_type")
-    ).withColumn("supported", F.col("file_type") != "unknown")
+    listed = listed.select(F.col("path").alias("file"), "length", "modificationTime").unionByName(empty_files(spark, path))
+    return listed.withColumn("file_type", file_type(F.col("file"))).withColumn("supported", F.col("file_type") != "unknown")
 
 
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
