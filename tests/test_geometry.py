@@ -49,5 +49,5 @@ def test_table_items_at_any_scale(spark):
             rows.append((head, 100 * i, 250 + dy))
         rows += [("*服务*甲", 0, 300), ("100.00", 100, 300), ("13%", 200, 300), ("13.00", 300, 300), ("合计", 0, 340)]
         spans = [("u", 1, n, t, float(x * scale), float(y * scale), float((x + 40) * scale), float((y + 12) * scale), None) for n, (t, x, y) in enumerate(rows)]
-        got = G.table_items(spark.createDataFrame(spans, SPAN), {"item_name": ["项目名称"], "line_amount": ["金额"], "tax_rate": ["税率"], "line_tax_amount": ["税额"]}).collect()
+        got = G.table_items(G.visual_rows(spark.createDataFrame(spans, SPAN), top=True), {"item_name": ["项目名称"], "line_amount": ["金额"], "tax_rate": ["税率"], "line_tax_amount": ["税额"]}).collect()
         assert [(r.item_name, str(r.line_amount), r.tax_rate, str(r.line_total_with_tax)) for r in got] == [("*服务*甲", "100.00", "13%", "113.00")]

@@ -244,14 +244,15 @@ def segment_items(rows: DataFrame, headers: DataFrame, ends: DataFrame, edges: D
 TABLE_COLUMNS = ("item_name", "spec_model", "unit", "quantity", "unit_price", "line_amount", "tax_rate", "line_tax_amount")
 
 
-def table_items(units: DataFrame, header_aliases: dict[str, list[str]], spec_tokens: Sequence[str] = (),
+def table_items(rows: DataFrame, header_aliases: dict[str, list[str]], spec_tokens: Sequence[str] = (),
                 extra: Sequence[str] = ()) -> DataFrame:
     """Lines of a printed table: header row, column edges, item segments, one row per item.
 
+    `rows` are visual rows by tops; they are read several times, so a caller may store them first.
+
     Items without a name, an amount, a rate or a tax are dropped; `*` for rate and tax means zero tax.
     """
     columns = header_columns(header_aliases)
-    rows = visual_rows(units, top=True)
     headers = header_rows(rows, columns)
     edges = column_edges(rows, headers, columns)
     cells = assign_columns(segment_items(rows, headers, table_end(rows, headers), edges), edges)

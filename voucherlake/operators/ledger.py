@@ -305,7 +305,6 @@ def number_rows(rows: DataFrame, order: list[str], start: Column | int = 0, docu
 
 
 def continue_sequence(rows: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
-    """Number new rows behind the last row of a ledger; the other side is one aggregate row."""
-    last = ledger.agg(F.coalesce(F.max("row_sequence"), F.lit(0)).alias("_last"))
-    return number_rows(rows, order).join(F.broadcast(last)).withColumn(
-        "row_sequence", F.col("row_sequence") + F.col("_last")).drop("_last")
+    """Number new rows behind the last row of a ledger."""
+    last = ledger.agg(F.coalesce(F.max("row_sequence"), F.lit(0)).alias("_last")).scalar()
+    return number_rows(rows, order).withColumn("row_sequence", F.col("row_sequence") + last)

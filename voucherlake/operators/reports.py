@@ -34,13 +34,19 @@ def run_summary(rows: DataFrame, units: DataFrame, added: DataFrame | None = Non
         F.coalesce(F.sum("_units"), F.lit(0)).alias("invoice_units"),
         F.coalesce(F.sum("_unmodeled"), F.lit(0)).alias("unmodeled_units"),
         F.coalesce(F.sum("_failed"), F.lit(0)).alias("failed_units"))
-    summary = from_units.join(F.broadcast(from_rows))
+    parts = [from_units, from_rows]
     if added is not None:
         counters = added.agg(
             F.coalesce(F.sum(F.when(F.col("action") != "skipped", F.when(F.coalesce(F.trim("invoice_no"), F.lit("")) == "", F.col("n_rows")).otherwise(F.lit(1)))), F.lit(0)).alias("added_rows"),
             F.coalesce(F.sum(F.when(F.col("action") == "skipped", F.col("n_rows"))
                              .when((F.col("action") == "added") & (F.coalesce(F.trim("invoice_no"), F.lit("")) != ""), F.col("n_rows") - 1)), F.lit(0)).alias("skipped_rows"))
-        summary = summary.join(F.broadcast(counters))
+        parts.append(counters)
+    # Each part is one row; together they are one row with all counters.
+    names = [c for part in parts for c in part.columns]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    summary = together.agg(*[F.max(c).alias(c) for c in names])
     return summary.withColumn("run_status", run_status())
 
 

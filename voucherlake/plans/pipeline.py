@@ -93,16 +93,30 @@ def check(recs: Records, rules: dict[str, dict] | None = None, structured: bool
     return checks.validate(recs.invoices, issues), issues
 
 
+def _pair(recs: Records) -> tuple[DataFrame, DataFrame]:
+    return recs.invoices, recs.lines
+
+
+def _kept(recs: Records, keep: bool) -> Records:
+    """Headers, lines and decisions are read by many checks; they are written once in between."""
+    if not keep:
+        return recs
+    decisions = staged(recs.decisions, "decisions") if recs.decisions is not None else None
+    return Records(staged(recs.invoices, "invoices"), staged(recs.lines, "lines"), decisions)
+
+
 def process(docs: DataFrame, run_id: str, processed_at: str, rules: dict[str, dict] | None = None,
             vat_rules: list[dict] | None = None, keep: bool = True) -> Outcome:
     """Documents to ledger rows and notices."""
     rules = rules or shipped()
-    recs = records(recognise(docs, rules, keep))
+    recs = _kept(records(recognise(docs, rules, keep)), keep)
     applicable = [r for r in (VAT_RULES if vat_rules is None else vat_rules) if set(r["schema_ids"]) & set(rules)]
     if applicable:
         invoices, lines = vat.apply_vat_rules(recs.invoices, recs.lines, applicable, ["line_no"])
-        recs = Records(invoices.drop("vat_action"), lines, recs.decisions)
+        split = Records(invoices.drop("vat_action"), lines)
+        recs = Records(*_pair(_kept(split, keep)), recs.decisions)
     validated, issues = check(recs, rules)
+    validated = staged(validated, "validated") if keep else validated
     rows = ledger.ledger_rows(validated, recs.lines, run_id, processed_at)
     units = validated.select(
         "unit_id", "source_file", "page_range", F.lit("ready").alias("unit_status"), F.col("status").alias("record_status"),
