@@ -10,6 +10,7 @@ from voucherlake.functions import money as M
 from voucherlake.functions import review as R
 from voucherlake.operators import checks, dedup, ledger, notices, ordered, pages, reports, routes, vat
 from voucherlake.plans import fixtures as fx
+from voucherlake.rules.catalog import VAT_RULES
 from voucherlake.session import staged
 from voucherlake.plans.registry import INVOICES_SQL, LINES_SQL, RECONCILED_SQL, SUMS_SQL, key_sql, query
 
@@ -245,17 +246,7 @@ def identity_issues(spark, sf):
 
 # ---- VAT -----------------------------------------------------------------
 
-# The published split rules.
-VAT_RULES = [
-    {"rule_id": "legacy_air_ticket_itinerary_9pct", "schema_ids": ["air-ticket-itinerary"], "variant_ids": ["legacy-air-itinerary"],
-     "method": "split_tax_inclusive_components", "rate": "9%", "taxable_item_names": ["票价", "燃油附加费"],
-     "non_taxable_item_names": ["机场建设费", "保险费"]},
-    {"rule_id": "road_water_passenger_ticket_3pct", "schema_ids": ["road-bus-ticket", "water-passenger-ticket"],
-     "method": "split_tax_inclusive_total", "rate": "3%"},
-    {"rule_id": "railway_passenger_ticket_9pct", "schema_ids": ["railway-ticket"],
-     "method": "split_tax_inclusive_total", "rate": "9%"},
-]
-"""Priority -> document type of the VAT queries; the others have no rule."""
+# Priority -> document type of the VAT queries; the others have no rule.
 VAT_TYPES = {"1-URGENT": ("road-bus-ticket", None), "2-HIGH": ("railway-ticket", None),
              "3-MEDIUM": ("air-ticket-itinerary", "legacy-air-itinerary")}
 
@@ -370,8 +361,10 @@ def _history(spark, sf):
         return dedup.with_fingerprint(bare)
 
     order = F.substring("unit_id", 6, 20).cast("bigint")
+    # Only what judging needs is stored.
+    needed = [*dedup.IDENTITY, "invoice_no", *dedup.CARRIED, "doc", "line_no", "item_name", "line_amount", "context_remark"]
     numbered = ledger.number_rows(prepare(before).withColumn("doc", order), ["doc", "line_no", "invoice_line_key"])
-    return staged(numbered, "ledger"), staged(prepare(batch).withColumn("doc", order), "batch")
+    return staged(numbered.select(*needed, "row_sequence"), "ledger"), staged(prepare(batch).withColumn("doc", order).select(*needed), "batch")
 
 
 BATCH_ORDER = ["doc", "line_no", "invoice_line_key"]
