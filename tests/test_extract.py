@@ -54,6 +54,20 @@ def test_rows_and_notices(outcome):
     assert outcome.notices.groupBy("unit_id").count().filter("count > 1").count() == 0
 
 
+def test_a_batch_is_appended_once(spark, outcome, tmp_path):
+    path = str(tmp_path / "ledger")
+    pipeline.append_outcome(outcome, path, "run")
+    pipeline.append_outcome(outcome, path, "run")
+    rows = spark.read.parquet(f"{path}/rows")
+    assert rows.count() == 3 and sorted(r.row_sequence for r in rows.collect()) == [1, 2, 3]
+    told = spark.read.parquet(f"{path}/notices")
+    assert told.count() == told.select("notice_id").distinct().count()
+    assert told.filter("issue_type = '疑似重复'").count() == 3
+    counters = spark.read.json(f"{path}/run_summary").orderBy("added_rows").collect()
+    assert [(r.added_rows, r.skipped_rows, r.unmodeled_units) for r in counters] == [(0, 3, 1), (3, 0, 1)]
+    assert spark.read.json(f"{path}/evidence").filter("unit_id = 'order' and part = 'issues'").count() > 0
+
+
 def test_a_type_can_be_added(spark):
     rules = {"note": {"schema_id": "note", "match_rules": {"required_all": ["送货单"]}}}
 

@@ -201,7 +201,8 @@ FROM ranked WHERE rn <= 3 AND unit_id NOT IN (SELECT unit_id FROM joined WHERE r
 UNION ALL SELECT unit_id, '识别结果需确认', '请对照原票补充金额。' FROM joined WHERE remark = 'incomplete amount breakdown: missing amount_total'""")
 def review_wording(spark, sf):
     invoices, lines = broken(spark, sf)
-    remarks = checks.issue_remarks(checks.amount_checks(invoices, lines, ALL_CHECKS))
+    # Printed line numbers repeat in these tables; an issue said twice is one issue.
+    remarks = checks.issue_remarks(checks.amount_checks(invoices, lines, ALL_CHECKS).distinct())
     return remarks.select("unit_id", R.issue_label(F.col("issue_remark")).alias("issue_type"),
                           R.review_text(F.col("issue_remark")).alias("action"))
 

@@ -18,6 +18,7 @@ from voucherlake.operators.routing import route
 from voucherlake.rules.catalog import VAT_RULES
 from voucherlake.rules.tables import required_fields, shipped
 from voucherlake.session import staged
+from voucherlake.sources import sinks
 
 UNMODELED_REMARK = "未匹配当前已建模票种。"
 RESOLVED_REMARK = "字段候选已决策，尚未通过字段校验。"
@@ -128,3 +129,19 @@ def process(docs: DataFrame, run_id: str, processed_at: str, rules: dict[str, di
 def summary(outcome: Outcome, added: DataFrame | None = None) -> DataFrame:
     units = outcome.records.invoices.select("unit_id", "source_file", F.col("status").alias("record_status"))
     return reports.run_summary(outcome.rows, units, added)
+
+
+def append_outcome(outcome: Outcome, path: str, run_id: str, spread: int = 10_000_000) -> DataFrame:
+    """Write a processed batch: ledger rows, notices (also of repeated rows), evidence and counters.
+
+    Documents are spread over `spread` positions by a hash of their id, which fixes the order of
+    the row numbers. Returns what happened to every identity of the batch.
+    """
+    order = ["doc", "line_no", "invoice_line_key"]
+    rows = outcome.rows.withColumn("doc", F.pmod(F.xxhash64("unit_id"), F.lit(spread)))
+    judged = sinks.append_ledger(rows, path, order)
+    sinks.append_notices(outcome.notices.unionByName(notices.duplicate_notices(judged, order)), path)
+    sinks.write_evidence(run_id, path, outcome.rows, outcome.records.invoices, lines=outcome.records.lines,
+                         decisions=outcome.records.decisions, issues=outcome.issues)
+    sinks.write_run_summary(summary(outcome, judged), run_id, path)
+    return judged
