@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voucherlake.session import staged
+from voucherlake.llm.staging import staged
 
 ROLES = ("user", "assistant", "system")
 #: Line numbers in one chunk.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.session import staged
+from voucherlake.llm.staging import staged
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voucherlake.session import staged
+from voucherlake.llm.staging import small, staged
 
 DOC = ["doc", "hash"]
 PLACE = [*DOC, "line"]
@@ -136,6 +136,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ranges = removed_ranges(docs, min_words).select(
         F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("ranges").alias("__ranges"), F.col("removed").alias("__removed")
     )
+    ranges = small(staged(ranges, "ranges"), 16 * F.size("__ranges"))  # else every text would be shuffled
     keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left")
     lines = F.split(F.col("text").cast("string"), "\n")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.session import staged
+from voucherlake.llm.staging import staged
 
 #: Dimensions that features are hashed to, and the documents the scorer is fitted on: those with the least hash of doc_id.
 DIMENSIONS, SAMPLE_DOCS = 1 << 12, 6_000

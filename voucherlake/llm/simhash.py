@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.llm.components import components
-from voucherlake.session import staged
+from voucherlake.llm.staging import small, staged
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 15
