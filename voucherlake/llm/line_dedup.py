@@ -104,7 +104,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         named = named.unionByName(part)
     interval = ["n", "rank1", "rank2"]
     firsts = named.groupBy(*interval).agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return named.join(firsts.drop("copies"), interval).where(_place() != F.col("first")).select(*PLACE, "n")
+    # written first: counted before the shuffle, and the join of a frequent interval can be split
+    return named.join(staged(firsts.drop("copies"), "firsts"), interval).where(_place() != F.col("first")).select(*PLACE, "n")
 
 
 def removed_ranges(docs: DataFrame, min_words: int = 50) -> DataFrame:
