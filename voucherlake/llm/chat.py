@@ -124,8 +124,8 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             batch = pd.concat([open_rows, batch], ignore_index=True)
         if not len(batch):
             continue
-        key = batch[["conv_id", "chunk"]].astype("Int64").fillna(-(2**62))
-        change = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy(bool))
+        key = batch[["conv_id", "chunk"]].astype("Int64").fillna(-(2**62)).to_numpy(np.int64)
+        change = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         for a, b in zip(change, change[1:]):
             yield batch.iloc[a:b]
         open_rows = batch.iloc[change[-1] :]

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voucherlake.llm.staging import matching
+
 WORD = re.compile(r"[^\W_]+")
 #: Embeddings, samples of each, and steps in a sample. Measured recall is in tests/llm/test_decontam.py.
 WALKS, SAMPLES, STEPS = 2, 16, 4
@@ -272,5 +274,4 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    held = matches(docs, items, similarity).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti")
+    return matching(docs, matches(docs, items, similarity), "left_anti")

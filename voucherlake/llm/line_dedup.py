@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import small, staged
+from voucherlake.llm.staging import free_name, small, staged
 
 DOC = ["doc", "hash"]
 PLACE = [*DOC, "line"]
@@ -125,6 +125,35 @@ def removed_ranges(docs: DataFrame, min_words: int = 50) -> DataFrame:
     )
 
 
+def _cleaned(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """docs with one more column, of the name told: the struct (text, n_lines, removed_lines)."""
+    ranges = removed_ranges(docs, min_words)
+    ranges = small(staged(ranges, "ranges"), 16 * F.size("ranges"))  # else every text would be shuffled
+    cut, key = free_name(docs, "cut"), free_name(docs, "text_hash")
+    found = ranges.select(F.struct(*DOC).alias(key), F.struct("ranges", "removed").alias(cut))
+    text = F.col("text").cast("string")
+    same = F.col("doc_id").eqNullSafe(F.col(key)["doc"]) & (F.xxhash64(text) == F.col(key)["hash"])
+    joined = docs.join(found, same, "left")
+    ranges, removed = F.col(cut)["ranges"], F.col(cut)["removed"]
+    lines, gaps = F.split(text, "\n"), F.size(ranges)
+
+    def rest(lines: Column) -> Column:
+        kept = F.transform(
+            F.sequence(F.lit(0), gaps),
+            lambda i: F.struct(
+                F.when(i == 0, F.lit(0)).otherwise(F.get(ranges, i - 1)["end"]).alias("start"),
+                F.when(i == gaps, F.size(lines)).otherwise(F.get(ranges, i)["start"]).alias("end"),
+            ),
+        )
+        return F.array_join(F.flatten(F.transform(kept, lambda r: F.slice(lines, r["start"] + 1, r["end"] - r["start"]))), "\n")
+
+    # the text is cut once: a lambda's argument is computed once, a column used twice may be computed twice
+    after = F.when(removed.isNull(), text).otherwise(F.get(F.transform(F.array(lines), rest), 0))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    told = F.struct(after.alias("text"), n_lines.alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("int").alias("removed_lines"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], told.alias(cut)), cut
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with the later copies of repeated line runs taken out of `text`, and n_lines and removed_lines added.
 
@@ -132,38 +161,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     non-space characters; it goes wherever an equal run stands earlier in the order of (doc_id, hash of the text, line),
     so one copy of every line always stays. A document whose lines all go has the empty text. A null text stays null with
     no lines; an empty text is one empty line. Rows that repeat doc_id and text are one document and change alike; a null
-    doc_id is the first. Other columns stay as they are, whatever their names.
+    doc_id is the first. Other columns stay as they are, but for former ones called n_lines and removed_lines.
     """
-    ranges = removed_ranges(docs, min_words).select(
-        F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("ranges").alias("__ranges"), F.col("removed").alias("__removed")
-    )
-    ranges = small(staged(ranges, "ranges"), 16 * F.size("__ranges"))  # else every text would be shuffled
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    gaps = F.size("__ranges")
-    kept = F.transform(
-        F.sequence(F.lit(0), gaps),
-        lambda i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.get("__ranges", i - 1)["end"]).alias("start"),
-            F.when(i == gaps, F.size(lines)).otherwise(F.get("__ranges", i)["start"]).alias("end"),
-        ),
-    )
-    rest = F.array_join(F.flatten(F.transform(kept, lambda r: F.slice(F.col("__lines"), r["start"] + 1, r["end"] - r["start"]))), "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines"))
-    cleaned = joined.withColumn("__lines", lines).select(
-        *[F.when(F.col("__removed").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")],
-        n_lines.alias("n_lines"),
-        F.coalesce("__removed", F.lit(0)).cast("int").alias("removed_lines"),
-    )
-    return cleaned
+    cleaned, cut = _cleaned(docs, min_words)
+    own = [F.col(cut)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    return cleaned.select(*own, F.col(cut)["n_lines"].alias("n_lines"), F.col(cut)["removed_lines"].alias("removed_lines"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The columns of docs, texts without repeated runs, n_chars to match; documents that lost every line go."""
-    cleaned = dedup_lines(docs, min_words).where("not (removed_lines > 0 and removed_lines = n_lines)")
-    columns = [
-        F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col(c)).cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`")
-        for c, kind in docs.dtypes
-    ]
-    return cleaned.select(*columns)
+    cleaned, cut = _cleaned(docs, min_words)
+    new = F.col(cut)
+    changed = {"text": new["text"], "n_chars": F.when(new["removed_lines"] > 0, F.length(new["text"])).otherwise(F.col("n_chars") if "n_chars" in docs.columns else None)}
+    kept = cleaned.where(~((new["removed_lines"] > 0) & (new["removed_lines"] == new["n_lines"])))
+    return kept.select(*[changed[c].cast(kind).alias(c) if c in changed else F.col(f"`{c}`") for c, kind in docs.dtypes])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import staged
+from voucherlake.llm.staging import matching, staged
 
 #: Dimensions that features are hashed to, and the documents the scorer is fitted on: those with the least hash of doc_id.
 DIMENSIONS, SAMPLE_DOCS = 1 << 12, 6_000
@@ -208,5 +208,4 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 def keep_good(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of docs that are not rejected; rows that share a doc_id stay if one of them does."""
-    kept = score(docs, sample_docs).where("keep").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return matching(docs, score(docs, sample_docs).where("keep"), "left_semi")

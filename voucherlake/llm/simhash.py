@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.llm.components import components
-from voucherlake.llm.staging import small, staged
+from voucherlake.llm.staging import matching, staged
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 15
@@ -207,6 +207,5 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """The rows of docs whose document is the smallest of its component; documents without an id stay."""
-    kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return known.unionByName(docs.where("doc_id is null"))
+    least = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return matching(docs, near_duplicates(docs, words, radius).where(least), "left_semi")

@@ -29,3 +29,18 @@ def small(df: DataFrame, size=None, row_bytes: int = 64) -> DataFrame:
     more = F.lit(0) if size is None else size
     measured = df.agg(F.sum(more + row_bytes)).first()[0] or 0
     return F.broadcast(df) if measured <= BROADCAST_BYTES else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined (how) to the doc_id of ids; a null doc_id equals a null one."""
+    name = free_name(docs, "matched")
+    kept = ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), how)
