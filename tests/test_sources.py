@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voucherlake.plans import source_queries
@@ -17,6 +18,35 @@ def test_listing_and_text_files(spark, tmp_path):
     assert docs["empty.md"].status == "failed"
 
 
+def test_text_files_of_any_name(spark, tmp_path):
+    names = ["with space.txt", "B.TXT", "50%25 off.Md", "发票.txt", "a#b?c.md", "plus+.txt"]
+    for name in names:
+        (tmp_path / name).write_text(f"text of {name}", encoding="utf-8")
+    (tmp_path / "EMPTY.TXT").write_text("")
+    docs = {r.source_file.rsplit("/", 1)[1]: r for r in files.scan_texts(spark, str(tmp_path)).collect()}
+    assert {n: docs[n].lines for n in names} == {n: [f"text of {n}"] for n in names}
+    assert docs["EMPTY.TXT"].status == "failed" and len(docs) == len(names) + 1
+
+
+def test_spans_without_order_are_refused(spark):
+    with pytest.raises(ValueError, match="order"):
+        files.scan_spans(spark.createDataFrame([("u", "a")], "unit_id string, text string"))
+
+
+def test_xml_values_as_a_parser_gives_them(spark):
+    body = ("<a><!-- <SellerName>no</SellerName> --><SellerName><![CDATA[甲<&amp;公司]]></SellerName><BuyerName>&#30002;&#x516c;&amp;#30002;"
+            "</BuyerName><EIid>7</EIid></a>")
+    rai = '<x xmlns="http://n/rai"><r:NameOfPurchaser><![CDATA[乙]]></r:NameOfPurchaser>'
+    df = spark.createDataFrame([("ok", "f", body)], "unit_id string, source_file string, xml string")
+    one = xml.scan_einvoice_xml(df)[0].first()
+    assert (one.seller_name, one.buyer_name) == ("甲<&amp;公司", "甲公&#30002;")
+    df = spark.createDataFrame([("good", "f", rai.replace("r:", "") + "</x>"), ("cut", "f", rai), ("efi", "f", "<x u='/efi'/>")], df.schema)
+    invoices, _, failed, left = xml.scan_xbrl(df)
+    assert [r.buyer_name for r in invoices.collect()] == ["乙"]
+    assert [r.unit_id for r in failed.collect()] == ["cut"]
+    assert [(r.unit_id, r.taxonomy) for r in left.collect()] == [("efi", "efi")]
+
+
 def test_ocr_polygons_become_boxes(spark):
     df = spark.sql("""select 'u' unit_id, array('a', ' ', 'b') texts, array(0.9D, 0.8D, 1.5D) scores,
         array(array(array(1D, 2D), array(5D, 2D), array(5D, 9D)), array(array(0D, 0D)), array(array(3D, 4D))) polys""")

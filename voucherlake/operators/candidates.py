@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.functions.money import MONEY, compact_number
@@ -102,21 +102,17 @@ def header_fields(decisions: DataFrame, names=HEADER_FIELDS) -> DataFrame:
     return wide
 
 
-def items_decision(items: DataFrame, most: int = 1000) -> DataFrame:
-    """Decision for the lines of a unit: lowest confidence, distinct risks, evidences in line order.
-
-    The evidence text quotes the first `most` lines; the lines themselves stay in their table.
-    """
+def items_decision(items: DataFrame) -> DataFrame:
+    """Decision for the lines of a unit: lowest confidence, distinct risks, evidences of all lines in their order."""
     numbers = items.groupBy("unit_id").agg(
         F.count(F.lit(1)).alias("candidate_count"), F.min("confidence").alias("confidence"))
     risk_rows = items.select("unit_id", "line_no", F.explode("risks").alias("risk")).groupBy("unit_id", "risk").agg(
         F.min("line_no").alias("_at"))
     risks = risk_rows.groupBy("unit_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_at", "risk"))), lambda s: s["risk"]).alias("risks"))
-    rank = F.row_number().over(Window.partitionBy("unit_id").orderBy("line_no"))
-    quoted = items.filter(F.trim("evidence") != "").withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    quoted = items.filter(F.trim("evidence") != "")
     texts = quoted.groupBy("unit_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("_rank", "evidence"))), lambda s: s["evidence"]), "; ").alias("evidence"))
+        F.sort_array(F.collect_list(F.struct("line_no", "evidence"))), lambda s: s["evidence"]), "; ").alias("evidence"))
     none = F.array().cast("array<string>")
     joined = numbers.join(risks, "unit_id", "left").join(texts, "unit_id", "left")
     known = F.coalesce("risks", none)

@@ -282,14 +282,21 @@ def project_output(rows: DataFrame, table: str = "detail", headers: bool = False
     return rows.select(*columns)
 
 
-def number_rows(rows: DataFrame, order: list[str], start: Column | int = 0, documents: int = 10_000, lines: int = 1_000_000) -> DataFrame:
+CELL_ROWS = 200_000
+
+
+def number_rows(rows: DataFrame, order: list[str], start: Column | int = 0, documents: int | None = None, lines: int = 1_000_000) -> DataFrame:
     """Continue a row sequence without a global window.
 
     `order[0]` is the numeric document position and `order[1]` the numeric line
     position. Rows fall into cells of `documents` documents and `lines` lines; cells are
     numbered inside, and a table with one row per cell carries the offsets. A document
-    of more than `lines` lines spreads over several cells.
+    of more than `lines` lines spreads over several cells. Unless given, `documents` is
+    chosen so that a cell holds CELL_ROWS rows in the mean, whatever the size of the batch.
     """
+    if documents is None:
+        low, high, n = rows.agg(F.min(order[0]), F.max(order[0]), F.count(F.lit(1))).first()
+        documents = max(1, int((high - low + 1) * CELL_ROWS / n)) if n and low is not None else 1
     celled = rows.withColumn("_cell", F.floor(F.col(order[0]) / documents)).withColumn(
         "_strip", F.floor(F.col(order[1]) / lines))
     counts = celled.groupBy("_cell", "_strip").agg(F.count(F.lit(1)).alias("_n"))

@@ -144,15 +144,15 @@ bad_lines AS (SELECT *, CAST(l_extendedprice / l_quantity AS DECIMAL(18,2)) AS p
     CASE WHEN l_linestatus = 'F' THEN CAST(line_total_with_tax + 0.05 AS DECIMAL(18,2)) ELSE line_total_with_tax END AS bad_total FROM lines),
 issues AS (
   SELECT unit_id, 7000000 AS seq, 'incomplete amount breakdown: missing amount_total' AS text FROM bad_invoices WHERE amount_total IS NULL
-  UNION ALL SELECT unit_id, 7100000, 'amount_total + tax_total != total_with_tax' FROM bad_invoices
+  UNION ALL SELECT unit_id, 1000007000000, 'amount_total + tax_total != total_with_tax' FROM bad_invoices
     WHERE abs(amount_total + tax_total - total_with_tax) > 0.02
-  UNION ALL SELECT unit_id, 7200000 + line_no, 'line ' || line_no || ': line_amount + line_tax_amount != line_total_with_tax'
+  UNION ALL SELECT unit_id, 2000007000000 + line_no, 'line ' || line_no || ': line_amount + line_tax_amount != line_total_with_tax'
     FROM bad_lines WHERE abs(line_amount + line_tax_amount - bad_total) > 0.02
-  UNION ALL SELECT unit_id, 7300000 + line_no, 'line ' || line_no || ': quantity * unit_price != line_amount'
+  UNION ALL SELECT unit_id, 3000007000000 + line_no, 'line ' || line_no || ': quantity * unit_price != line_amount'
     FROM bad_lines WHERE abs(CAST(quantity AS DECIMAL(12,2)) * price - line_amount) > 0.02
-  UNION ALL SELECT unit_id, 7400000, 'sum line_amount != amount_total' FROM bad_invoices LEFT JOIN sums USING (unit_id)
+  UNION ALL SELECT unit_id, 4000007000000, 'sum line_amount != amount_total' FROM bad_invoices LEFT JOIN sums USING (unit_id)
     WHERE abs(coalesce(lines_amount, 0) - amount_total) > 0.02
-  UNION ALL SELECT unit_id, 7500000, 'sum line_tax_amount != tax_total' FROM bad_invoices LEFT JOIN sums USING (unit_id)
+  UNION ALL SELECT unit_id, 5000007000000, 'sum line_tax_amount != tax_total' FROM bad_invoices LEFT JOIN sums USING (unit_id)
     WHERE abs(coalesce(lines_tax, 0) - tax_total) > 0.02)
 """
 

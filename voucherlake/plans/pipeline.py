@@ -46,7 +46,9 @@ def recognise(docs: DataFrame, rules: dict[str, dict] | None = None, keep: bool
     since candidates and lines are read separately."""
     rules = rules or shipped()
     routed = route(docs, rules, "standard-invoice" if "standard-invoice" in rules else None)
-    carried = [c for c in ("unit_id", "source_file", "page_range", "source") if c in docs.columns]
+    carried = [F.col(c) for c in ("unit_id", "source_file", "page_range", "source") if c in docs.columns]
+    carried += [
+        (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"input_{c}") for c in ("status", "remark")]
     extracted = extract(routed, rules).select(
         *carried, "schema_id", "variant_id", "route_confidence", "decision", "route_reason", "found", "items")
     return staged(extracted, "extracted") if keep else extracted
@@ -65,12 +67,13 @@ def records(extracted: DataFrame) -> Records:
         "unit_id",
         F.col("source_file") if "source_file" in extracted.columns else F.col("unit_id").alias("source_file"),
         F.col("page_range") if "page_range" in extracted.columns else F.array(F.lit(1)).alias("page_range"),
-        "schema_id", "variant_id", "decision", "route_confidence")
+        "schema_id", "variant_id", "decision", "route_confidence", "input_status", "input_remark")
+    failed = F.coalesce(F.col("input_status") == "failed", F.lit(False))
     matched = F.col("decision") == "matched"
     joined = base.join(header, "unit_id", "left").withColumn(
-        "status", F.when(matched, F.lit("review_required")).otherwise(F.lit("unmodeled"))).withColumn(
-        "remark", F.when(matched, F.lit(RESOLVED_REMARK)).otherwise(F.lit(UNMODELED_REMARK))).withColumn(
-        "confidence", F.when(matched, F.coalesce("confidence", F.lit(0.0))).otherwise(F.col("route_confidence")))
+        "status", F.when(failed, F.lit("failed")).when(matched, F.lit("review_required")).otherwise(F.lit("unmodeled"))).withColumn(
+        "remark", F.when(failed, F.col("input_remark")).when(matched, F.lit(RESOLVED_REMARK)).otherwise(F.lit(UNMODELED_REMARK))).withColumn(
+        "confidence", F.when(failed, F.lit(0.0)).when(matched, F.coalesce("confidence", F.lit(0.0))).otherwise(F.col("route_confidence"))).drop("input_status", "input_remark")
     with_items = decisions.unionByName(C.items_decision(lines).withColumn("n_conflicts", F.lit(0).cast("bigint")))
     return Records(joined, vat.link_discounts(lines, ["line_no"]), with_items)
 
@@ -78,7 +81,7 @@ def records(extracted: DataFrame) -> Records:
 def check(recs: Records, rules: dict[str, dict] | None = None, structured: bool = False) -> tuple[DataFrame, DataFrame]:
     """All checks of the documents' types; returns (validated invoices, issue table)."""
     rules = rules or shipped()
-    invoices, lines = recs.invoices.filter("status <> 'unmodeled'"), recs.lines
+    invoices, lines = recs.invoices.filter("status not in ('unmodeled', 'failed')"), recs.lines
     enabled = {name: rule.get("amount_checks", []) for name, rule in rules.items()}
     family = [n for n, r in rules.items() if n == "standard-invoice" or r.get("extends") == "standard-invoice"]
     with_lines = [n for n, r in rules.items() if r.get("line_table", {}).get("required")]
@@ -120,7 +123,7 @@ def process(docs: DataFrame, run_id: str, processed_at: str, rules: dict[str, di
     validated = staged(validated, "validated") if keep else validated
     rows = ledger.ledger_rows(validated, recs.lines, run_id, processed_at)
     units = validated.select(
-        "unit_id", "source_file", "page_range", F.lit("ready").alias("unit_status"), F.col("status").alias("record_status"),
+        "unit_id", "source_file", "page_range", F.when(F.col("status") == "failed", "failed").otherwise("ready").alias("unit_status"), F.col("status").alias("record_status"),
         "invoice_no", "total_with_tax")
     told = notices.build_notices(rows, units, ["line_no"])
     return Outcome(Records(validated, recs.lines, recs.decisions), issues, rows, told)
@@ -131,7 +134,7 @@ def summary(outcome: Outcome, added: DataFrame | None = None) -> DataFrame:
     return reports.run_summary(outcome.rows, units, added)
 
 
-def append_outcome(outcome: Outcome, path: str, run_id: str, spread: int = 10_000_000) -> DataFrame:
+def append_outcome(outcome: Outcome, path: str, run_id: str, spread: int = 1 << 40) -> DataFrame:
     """Write a processed batch: ledger rows, notices (also of repeated rows), evidence and counters.
 
     Documents are spread over `spread` positions by a hash of their id, which fixes the order of

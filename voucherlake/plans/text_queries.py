@@ -191,7 +191,7 @@ def rule_inheritance(spark, sf):
         .unionByName(rows("nation", F.concat(F.lit("nation_"), "n_nationkey"), F.concat(F.lit("region_"), "n_regionkey"), F.lit("name"), F.col("n_name")))
         .unionByName(rows("customer", F.concat(F.lit("customer_"), "c_custkey"), F.concat(F.lit("nation_"), "c_nationkey"),
                           F.when(F.col("c_acctbal") < 0, F.lit("name")).otherwise(F.lit("segment")), F.col("c_mktsegment"))))
-    return effective_rules(rules, levels=3)
+    return effective_rules(rules)
 
 
 @query("rule_cycles", """
@@ -206,7 +206,7 @@ def rule_cycles(spark, sf):
     first = nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("first"))
     links = nation.select(F.concat(F.lit("nation_"), "n_nationkey").alias("schema_id"), F.concat(F.lit("region_"), "n_regionkey").alias("extends")).unionByName(
         first.select(F.concat(F.lit("region_"), "n_regionkey").alias("schema_id"), F.concat(F.lit("nation_"), "first").alias("extends")))
-    return cycles(inheritance_closure(links, levels=4)).select("schema_id", "chain")
+    return cycles(inheritance_closure(links)).select("schema_id", "chain")
 
 
 # ---- routing -------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voucherlake.rules.catalog import CATALOG
+from voucherlake.session import staged
 
 RULE_SCHEMA = "schema_id string, extends string, path string, value string, field_pos int"
 
@@ -81,22 +82,24 @@ def rule_rows(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def inheritance_closure(rules: DataFrame, levels: int = 8) -> DataFrame:
-    """(schema_id, ancestor, depth, chain) up to `levels` generations; a cycle ends its chain.
+def inheritance_closure(rules: DataFrame) -> DataFrame:
+    """(schema_id, ancestor, depth, chain) over all generations; a cycle ends its chain.
 
-    Each generation is one equi-join on the parent id over distinct (document, parent)
-    pairs, far fewer than rules.
+    Each generation is one equi-join on the parent id over distinct (document, parent) pairs, far fewer than rules,
+    and is written before the next, until no document has a further ancestor.
     """
-    parents = rules.select("schema_id", "extends").distinct()
+    parents = staged(rules.select("schema_id", "extends").distinct(), "parents")
     current = parents.select("schema_id", F.col("schema_id").alias("ancestor"), F.col("extends").alias("_next"),
                              F.lit(0).alias("depth"), F.array("schema_id").alias("chain"))
     closure = current
     links = parents.select(F.col("schema_id").alias("_parent"), F.col("extends").alias("_grand"))
-    for _ in range(levels):
-        current = current.filter("_next is not null and not array_contains(slice(chain, 1, size(chain) - 1), ancestor)").join(
+    while True:
+        current = staged(current.filter("_next is not null and not array_contains(slice(chain, 1, size(chain) - 1), ancestor)").join(
             links, F.col("_next") == F.col("_parent")).select(
             "schema_id", F.col("_parent").alias("ancestor"), F.col("_grand").alias("_next"),
-            (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("_parent")).alias("chain"))
+            (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("_parent")).alias("chain")), "generation")
+        if not current.take(1):
+            break
         closure = closure.unionByName(current)
     return closure.drop("_next")
 
@@ -108,9 +111,13 @@ def cycles(closure: DataFrame) -> DataFrame:
         "schema_id", F.array_join("chain", " -> ").alias("chain"))
 
 
-def effective_rules(rules: DataFrame, levels: int = 8) -> DataFrame:
-    """(schema_id, path, value, depth): every path from the nearest document that states it."""
-    closure = inheritance_closure(rules, levels).select("schema_id", "ancestor", "depth")
+def effective_rules(rules: DataFrame) -> DataFrame:
+    """(schema_id, path, value, depth): every path from the nearest document that states it; a cycle raises."""
+    closure = inheritance_closure(rules)
+    looped = cycles(closure).first()
+    if looped:
+        raise ValueError(f"rule documents inherit in a cycle: {looped.chain}")
+    closure = closure.select("schema_id", "ancestor", "depth")
     own = rules.select(F.col("schema_id").alias("ancestor"), "path", "value")
     inherited = closure.join(own, "ancestor")
     nearest = F.row_number().over(Window.partitionBy("schema_id", "path").orderBy("depth"))

@@ -39,11 +39,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by the cluster in spark.checkpoint.dir.
 
-    Only where nothing is set (tests on one machine) a scratch folder is made.
+    Only where nothing is set and all tasks run inside the driver (tests on one machine) a scratch folder is made; a
+    cluster must name one, for a folder of one machine is not seen by the others.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="voucherlake-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -39,17 +39,21 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("file_type", file_type(F.col("file"))).withColumn("supported", F.col("file_type") != "unknown")
 
 
+TEXT_FILES = "*.{[tT][xX][tT],[mM][dD]}"
+
+
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as documents: one row per file with its trimmed, non-blank lines; an empty file is failed."""
-    read = spark.read.text(path, wholetext=True, pathGlobFilter="*.{txt,md}").select(
-        F.col("_metadata.file_path").alias("source_file"), "value")
-    listed = scan_files(spark, path).filter(F.col("file_type").isin("text", "markdown")).select(
-        F.element_at(F.split("file", "/"), -1).alias("_name"), F.col("file").alias("_file"))
-    texts = read.withColumn("_name", F.element_at(F.split("source_file", "/"), -1))
-    # An empty file gives no text row, so the listing leads.
-    joined = listed.join(texts, "_name", "left").withColumn("value", F.coalesce("value", F.lit("")))
-    return joined.select(
-        K.unit_id(F.col("_name"), F.array(F.lit(1)), F.col("value")).alias("unit_id"), F.col("_file").alias("source_file"),
+    """Text files as documents: one row per file with its trimmed, non-blank lines; an empty file is failed.
+
+    Paths and contents come from one scan, so no name is compared with another; suffixes match in any case.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", TEXT_FILES).load(path)
+    empty = empty_files(spark, path).select("file", F.lit("").alias("value"))
+    texts = read.select(F.col("path").alias("file"), F.col("content").cast("string").alias("value")).unionByName(
+        empty.filter(file_type(F.col("file")).isin("text", "markdown")))
+    named = texts.withColumn("_name", F.element_at(F.split("file", "/"), -1))
+    return named.select(
+        K.unit_id(F.col("_name"), F.array(F.lit(1)), F.col("value")).alias("unit_id"), F.col("file").alias("source_file"),
         F.array(F.lit(1)).alias("page_range"), F.lit("text_file").alias("source"), text_lines(F.col("value")).alias("lines"),
     ).withColumn("status", F.when(F.size("lines") > 0, F.lit("ready")).otherwise(F.lit("failed"))).withColumn(
         "remark", F.when(F.size("lines") == 0, F.lit("文本文件为空，无法进入解析。")))
@@ -71,8 +75,10 @@ def scan_spans(df: DataFrame, source: str = "pdf_text") -> DataFrame:
     """Spans extracted elsewhere, made uniform: trimmed, blanks dropped, page 1 and zero box by default.
 
     `df` has unit_id and text, and optionally page, ord, x0, y0, x1, y1 and confidence. A missing order
-    is taken from `block_no`, the position of the block in its file.
+    is taken from `block_no`, the position of the block in its file; one of the two must be there.
     """
+    if "ord" not in df.columns and "block_no" not in df.columns:
+        raise ValueError("spans need their order: a column ord or block_no")
     def column(name: str, default, kind: str) -> Column:
         known = F.col(name) if name in df.columns else F.lit(None)
         return F.coalesce(known.cast(kind), (default if isinstance(default, Column) else F.lit(default)).cast(kind)).alias(name)
