@@ -24,7 +24,7 @@ from voucherlake.llm.staging import matching
 
 WORD = re.compile(r"[^\W_]+")
 #: Embeddings, samples of each, and steps in a sample. Measured recall is in tests/llm/test_decontam.py.
-WALKS, SAMPLES, STEPS = 2, 16, 4
+WALKS, SAMPLES, STEPS = 3, 16, 4
 #: Words of items that are held by every task at once; more items are searched in blocks of that size.
 BLOCK_WORDS = 500_000
 #: Words of documents that a task embeds at once.

@@ -109,9 +109,14 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> Model:
     """A model of the labelled documents that are not held out; LEARNT of each language at most are read."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).where(F.col("text").cast("string").rlike(r"\p{L}"))
     slim = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    # of a large language only hashes in a range that holds about 8 * LEARNT documents are ranked
+    sizes = [(r["lang"], r["count"]) for r in docs.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()]
+    if any(n > 8 * LEARNT for _, n in sizes):
+        share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, 8.0 * LEARNT / n)])
+        slim = slim.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < F.element_at(share, F.col("lang")))
     chosen = slim.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= LEARNT)
     # LEARNT rows of three numbers for each language
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "n"))
