@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import matching, staged
+from voucherlake.llm.staging import staged
 
 #: Dimensions that features are hashed to, and the documents the scorer is fitted on: those with the least hash of doc_id.
 DIMENSIONS, SAMPLE_DOCS = 1 << 12, 6_000
@@ -186,6 +186,19 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     return fit_scorer([np.array(r["slots"]) for r in sample], [np.array(r["shares"], np.float32) for r in sample], targets)
 
 
+def _scorer(docs: DataFrame, sample_docs: int):
+    """A pandas UDF from text to quality, trained on docs."""
+    weights = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))
+
+    @F.pandas_udf("double")
+    def scorer(texts: pd.Series) -> pd.Series:
+        w = weights.value
+        raw = np.array([float(w[s] @ v) + float(w[-1]) for s, v in map(features, texts)])
+        return pd.Series(1 / (1 + np.exp(-np.clip(raw, -50, 50))))
+
+    return scorer
+
+
 def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, quality double, keep boolean) of every row of docs (doc_id, text).
 
@@ -193,19 +206,10 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     no word, which is bad; they share one score. Equal texts have equal scores; rows that repeat a doc_id count once in the
     fit and keep their rows. Other columns are not read. An empty table gives no rows.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = weights.value
-        for batch in batches:
-            found = [features(t) for t in batch["text"]]
-            raw = np.array([float(w[s] @ v) + float(w[-1]) for s, v in found])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "quality": 1 / (1 + np.exp(-np.clip(raw, -50, 50)))})
-
-    scored = _slim(docs).mapInPandas(run, "doc_id long, quality double")
+    scored = _slim(docs).select("doc_id", _scorer(docs, sample_docs)(F.col("text")).alias("quality"))
     return scored.withColumn("keep", F.col("quality") >= KEEP_FROM)
 
 
 def keep_good(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs that are not rejected; rows that share a doc_id stay if one of them does."""
-    return matching(docs, score(docs, sample_docs).where("keep"), "left_semi")
+    """The rows of docs that are not rejected, each judged by its own text; nothing is shuffled."""
+    return docs.where(_scorer(docs, sample_docs)(F.col("text").cast("string")) >= KEEP_FROM)
