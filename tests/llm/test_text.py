@@ -37,6 +37,18 @@ def test_bpe_forgets_and_goes_on(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_leaves_in_small_batches(docs):
+    """Both operators, chained and in one worker, give the ids of the library and the texts back, row by row."""
+    vocabulary = bpe.share(docs([]).sparkSession, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rows = [(i, "naïve text %d " % i * (i % 7 * 20_000 + 1)) for i in range(40)] + [(40, None), (41, "")]
+    library = reference()
+    want = {(i, b"".join(n.to_bytes(4, "little") for n in library.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows}
+    once = bpe.round_trip(docs(rows), vocabulary).collect()
+    chained = bpe.decode(bpe.encode(docs(rows), vocabulary), vocabulary).collect()
+    for found in (once, chained):
+        assert len(found) == len(rows) and {(r.doc_id, bytes(r.ids), bytes(r.payload)) for r in found} == want
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"key {i}".encode() for i in range(5000)]
     numbers = bpe.PerfectHash(keys).numbers(keys)

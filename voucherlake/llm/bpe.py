@@ -19,6 +19,8 @@ REMEMBERED = 400_000
 REMEMBERED_CHARS = 64
 #: Characters of texts that are cut and looked up at once.
 CHARS_AT_ONCE = 500_000
+#: Bytes of ids that leave a worker at once.
+BYTES_AT_ONCE = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +180,10 @@ def share(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((read_ranks(path), pattern))
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, ids binary) of every row of docs (doc_id, text): little-endian unsigned 32-bit ids of the whole text.
 
@@ -192,8 +198,7 @@ def encode(docs: DataFrame, vocabulary) -> DataFrame:
             ids = pa.array(list(codec.encode_all(t.as_py() or "" for t in batch.column(1))), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids binary")
+    return _slim(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
@@ -208,10 +213,36 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, payload binary")
 
 
+def round_trip(docs: DataFrame, vocabulary) -> DataFrame:
+    """(doc_id, ids binary, payload binary) of every row of docs: its ids, as encode() gives them, and what they decode to.
+
+    One worker does both, so that a core holds the vocabulary once; rows leave in small batches, whatever came in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocabulary)
+        for batch in batches:
+            left, ids, size = batch.column(0), [], 0
+            for packed in codec.encode_all(t.as_py() or "" for t in batch.column(1)):
+                ids.append(packed)
+                size += len(packed)
+                if size >= BYTES_AT_ONCE:
+                    yield _both(codec, left[: len(ids)], ids)
+                    left, ids, size = left[len(ids) :], [], 0
+            if ids:
+                yield _both(codec, left[: len(ids)], ids)
+
+    return _slim(docs).mapInArrow(run, "doc_id long, ids binary, payload binary")
+
+
+def _both(codec: Codec, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    payload = pa.array(list(map(codec.decode, ids)), pa.binary())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), payload], ["doc_id", "ids", "payload"])
+
+
 def digests(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs, encoded and decoded again."""
-    both = decode(encode(docs, vocabulary), vocabulary)
-    return both.select(
+    return round_trip(docs, vocabulary).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
