@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import matching
+from voucherlake.llm.staging import without
 
 WORD = re.compile(r"[^\W_]+")
 #: Embeddings, samples of each, and steps in a sample. Measured recall is in tests/llm/test_decontam.py.
@@ -274,4 +274,4 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    return matching(docs, matches(docs, items, similarity), "left_anti")
+    return without(docs, matches(docs, items, similarity).select("doc_id").distinct())

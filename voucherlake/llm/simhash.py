@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.llm.components import components
-from voucherlake.llm.staging import matching, staged
+from voucherlake.llm.staging import staged, without
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 15
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs whose document is the smallest of its component; documents without an id stay."""
-    least = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    return matching(docs, near_duplicates(docs, words, radius).where(least), "left_semi")
+    """The rows of docs whose document is the smallest of a component; documents without an id stay."""
+    least = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    judged = near_duplicates(docs, words, radius).where("doc_id is not null").groupBy("doc_id").agg(least.alias("least"))
+    return without(docs, judged.where("not least"))
