@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voucherlake.llm.staging import whole_texts
+
 #: Pre-tokens a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 400_000
 #: Longer pre-tokens are not remembered.
@@ -180,10 +182,6 @@ def share(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((read_ranks(path), pattern))
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def encode(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, ids binary) of every row of docs (doc_id, text): little-endian unsigned 32-bit ids of the whole text.
 
@@ -198,7 +196,7 @@ def encode(docs: DataFrame, vocabulary) -> DataFrame:
             ids = pa.array(list(codec.encode_all(t.as_py() or "" for t in batch.column(1))), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return _slim(docs).mapInArrow(run, "doc_id long, ids binary")
+    return whole_texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
@@ -232,7 +230,7 @@ def round_trip(docs: DataFrame, vocabulary) -> DataFrame:
             if ids:
                 yield _both(codec, left[: len(ids)], ids)
 
-    return _slim(docs).mapInArrow(run, "doc_id long, ids binary, payload binary")
+    return whole_texts(docs).mapInArrow(run, "doc_id long, ids binary, payload binary")
 
 
 def _both(codec: Codec, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:

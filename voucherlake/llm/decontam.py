@@ -16,11 +16,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import without
+from voucherlake.llm.staging import whole_texts, without
 
 WORD = re.compile(r"[^\W_]+")
 #: Embeddings, samples of each, and steps in a sample. Measured recall is in tests/llm/test_decontam.py.
@@ -232,32 +232,31 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
     words match exactly only, items without a word never. Null, empty and short texts hold nothing; rows that repeat give
     one row; null ids stay null. Items with equal texts are all told. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = whole_texts(docs)
     schema = "doc_id long, item_id long, distance int, n_words int, start_word int, end_word int"
+    types = dict.fromkeys(("doc_id", "item_id"), pa.int64()) | dict.fromkeys(("distance", "n_words", "start_word", "end_word"), pa.int32())
     found = None
     for block in _blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
 
-            def searched(ids: list, texts: list[list[int]]) -> pd.DataFrame:
+            def searched(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                text = np.concatenate([np.array(t, np.int32) for t in texts])
+                text = np.concatenate(texts)
                 rows = [
                     (ids[doc], index.items[item][0], distance, len(index.items[item][1]), start, end)
                     for doc, item, distance, start, end in index.search(text, bounds)
                 ]
-                columns = ["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"]
-                table = pd.DataFrame(rows, columns=columns, dtype=object)
-                return table.astype({"doc_id": "Int64", "item_id": "Int64"} | dict.fromkeys(columns[2:], "int32"))
+                columns = zip(*rows) if rows else [()] * len(types)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
             ids, texts, words = [], [], 0
             for batch in batches:
-                numbered = batch["doc_id"].astype("Int64")
-                for doc_id, text in zip(numbered, batch["text"]):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids.append(doc_id)
-                    texts.append(index.numbers(text))
+                    texts.append(np.array(index.numbers(text.as_py()), np.int32))
                     words += len(texts[-1])
                     if words >= TEXT_WORDS:
                         yield searched(ids, texts)
@@ -265,7 +264,7 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
             if texts:
                 yield searched(ids, texts)
 
-        part = docs.mapInPandas(run, schema)
+        part = docs.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)

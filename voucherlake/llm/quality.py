@@ -8,11 +8,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlake.llm.staging import staged
+from voucherlake.llm.staging import staged, whole_texts
 
 #: Dimensions that features are hashed to, and the documents the scorer is fitted on: those with the least hash of doc_id.
 DIMENSIONS, SAMPLE_DOCS = 1 << 12, 6_000
@@ -132,17 +132,13 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, flo
 def vote_patterns(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern): the votes of all labellers as one number in base 3."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
-            cast = np.array([votes(t) for t in batch["text"]], np.int64).reshape(-1, len(LABELLERS))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "pattern": (cast + 1) @ weights})
+            cast = np.array([votes(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(LABELLERS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((cast + 1) @ weights)], ["doc_id", "pattern"])
 
-    return _slim(docs).mapInPandas(run, "doc_id long, pattern long")
-
-
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return whole_texts(docs).mapInArrow(run, "doc_id long, pattern long")
 
 
 def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray) -> np.ndarray:
@@ -174,27 +170,29 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     by_code = dict(zip(codes.tolist(), posterior.tolist()))
     chosen = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "__chosen"))  # sample_docs rows of two numbers
-    texts = _slim(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")))
+    texts = whole_texts(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"pattern": batch["pattern"], "slots": [s.tolist() for s, _ in found], "shares": [v.tolist() for _, v in found]})
+            found = [features(t.as_py()) for t in batch.column(0)]
+            slots = pa.array([s for s, _ in found], pa.list_(pa.int32()))
+            shares = pa.array([v for _, v in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), slots, shares], ["pattern", "slots", "shares"])
 
-    sample = texts.select("text", "pattern").mapInPandas(run, "pattern long, slots array<int>, shares array<float>").collect()
+    sample = texts.select("text", "pattern").mapInArrow(run, "pattern long, slots array<int>, shares array<float>").collect()
     targets = np.array([by_code[r["pattern"]] for r in sample])
     return fit_scorer([np.array(r["slots"]) for r in sample], [np.array(r["shares"], np.float32) for r in sample], targets)
 
 
 def _scorer(docs: DataFrame, sample_docs: int):
-    """A pandas UDF from text to quality, trained on docs."""
+    """An Arrow UDF from text to quality, trained on docs; a worker holds one text at a time as a string."""
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, sample_docs))
 
-    @F.pandas_udf("double")
-    def scorer(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scorer(texts: pa.Array) -> pa.Array:
         w = weights.value
-        raw = np.array([float(w[s] @ v) + float(w[-1]) for s, v in map(features, texts)])
-        return pd.Series(1 / (1 + np.exp(-np.clip(raw, -50, 50))))
+        raw = np.array([float(w[s] @ v) + float(w[-1]) for s, v in (features(t.as_py()) for t in texts)])
+        return pa.array(1 / (1 + np.exp(-np.clip(raw, -50, 50))), pa.float64())
 
     return scorer
 
@@ -206,7 +204,7 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     no word, which is bad; they share one score. Equal texts have equal scores; rows that repeat a doc_id count once in the
     fit and keep their rows. Other columns are not read. An empty table gives no rows.
     """
-    scored = _slim(docs).select("doc_id", _scorer(docs, sample_docs)(F.col("text")).alias("quality"))
+    scored = whole_texts(docs).select("doc_id", _scorer(docs, sample_docs)(F.col("text")).alias("quality"))
     return scored.withColumn("keep", F.col("quality") >= KEEP_FROM)
 
 

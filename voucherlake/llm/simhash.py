@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.llm.components import components
-from voucherlake.llm.staging import staged, without
+from voucherlake.llm.staging import staged, whole_texts, without
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 15
@@ -53,13 +54,12 @@ def fingerprint(text: str | None, words: int) -> int:
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fingerprint long): the bits of fingerprint() as a signed number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": codes.view(np.int64)})
+            codes = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["doc_id", "fingerprint"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, fingerprint long")
+    return whole_texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 @functools.cache

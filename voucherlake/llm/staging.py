@@ -9,6 +9,11 @@ from voucherlake.session import fresh_path
 
 #: The largest side that is broadcast, in bytes as estimated from a count.
 BROADCAST_BYTES = 32 << 20
+#: What Spark sets for Arrow batches (as it may be written), and what whole texts ask for.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (("67108864b", "67108864", "64m", "64MB"), "4m"),
+}
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +36,20 @@ def small(df: DataFrame, size=None, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if measured <= BROADCAST_BYTES else df
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text string) of docs, to be read by Python workers; other columns are left behind.
+
+    A batch of texts lies in the memory of the executor and again in the worker's, for each core. Where the session still has
+    Spark's own batch size (10,000 rows, 64 MB), it is lowered to SMALL_BATCHES; a size of the user's choice stays. No result
+    depends on it.
+    """
+    settings = docs.sparkSession.conf
+    for key, (default, lower) in SMALL_BATCHES.items():
+        if settings.get(key) in default:
+            settings.set(key, lower)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
