@@ -154,3 +154,31 @@ def test_chat_roles_and_chunks(spark):
     chat.SPAN = before
     assert parts == whole and len(whole) == 450
     assert [r.text for r in whole[:2]] == ["hello 0\nmore words", "hello 2\nmore words"]
+
+
+def test_chat_keeps_the_order_of_long_turns(spark, monkeypatch):
+    """Turns of several hundred unsorted lines come out as they went in, whole and over many chunks."""
+    talk = [(i % 5, t, "user" if t % 2 == 0 else "assistant", "\n".join(f"{(k * 7919 + t) % 1000:03d} words" for k in range(1 + (i * 131 + t * 97) % 400)))
+            for i in range(5) for t in range(6)]
+    talk += [(9, None, "user", "b\na"), (9, 3, "user", "z\ny"), (9, 3, "assistant", "x\nw"), (9, 3000, "user", "d\nc"), (None, 1, "user", "n\nm")]
+    raw = chat.transcript(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    rows = sorted(raw.collect(), key=lambda r: (-1 if r.conv_id is None else r.conv_id, r.line_no))
+    lines = {}
+    for r in rows:
+        lines.setdefault(r.conv_id, []).append(r)
+    assert all([r.line_no for r in own] == list(range(len(own))) for own in lines.values())
+    want = {}
+    for c, _, _, text in sorted(talk, key=lambda x: (x[0] is None, x[0] or 0, -1 if x[1] is None else x[1], x[2], x[3])):
+        want.setdefault(c, []).extend(text.split("\n"))
+    assert {c: [r.line[-len(w) :] for r, w in zip(own, want[c])] for c, own in lines.items()} == want
+    model = chat.fit(chat.transcript(spark.read.parquet(f"{DATA}/conversations.parquet")))
+    whole = sorted(chat.turns(raw, model).collect(), key=str)
+    said = {}
+    for r in sorted(whole, key=lambda r: r.turn_no):
+        said.setdefault(r.conv_id, []).extend(r.text.split("\n"))
+    # a marker stays on the line where the model takes it for a further line
+    assert {c: [line[-len(w) :] for line, w in zip(own, want[c], strict=True)] for c, own in said.items()} == want
+    monkeypatch.setattr(chat, "SPAN", 64)
+    monkeypatch.setattr(chat, "TURNS", 2)
+    again = chat.transcript(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    assert sorted(chat.turns(again, model).collect(), key=str) == whole

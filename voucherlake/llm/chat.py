@@ -19,6 +19,8 @@ from voucherlake.llm.staging import staged
 ROLES = ("user", "assistant", "system")
 #: Line numbers in one chunk.
 SPAN = 4096
+#: Turn numbers whose rows are numbered by one task.
+TURNS = 1024
 # Words before a colon (or >) that name a speaker.
 MARKERS = {
     "user": "user human q question customer me you prompt client",
@@ -221,23 +223,40 @@ def _bare():
 def transcript(conversations: DataFrame) -> DataFrame:
     """(conv_id, line_no, line, role, starts): conversations (conv_id, turn, role, text) as raw transcripts, with the truth.
 
-    Speaker markers come in four styles by conversation, and one turn in six has none. A line number is
-    turn * SPAN / 64 + line, so 64 turns make a chunk; a turn with more lines shares the last number.
+    Speaker markers come in four styles by conversation, and one turn in six has none. Lines are numbered from 0 up by a
+    running sum over the rows of a conversation, in the order of turn (null before 0), role and text, so that each line has a number of
+    its own and a chunk holds SPAN lines. The sum is taken by chunks of turns; a row that repeats is told as often as it stands.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
     names = {"user": ["User: ", "Human: ", "Q: ", "**User**: "], "assistant": ["Assistant: ", "AI: ", "A: ", "**Assistant**: "]}
     table = lambda r: F.element_at(F.array(*[F.lit(x) for x in names[r]]), style + 1)
     mark = F.when(F.col("role") == "user", table("user")).when(F.col("role") == "assistant", table("assistant")).otherwise(F.lit("System: "))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) == 0
-    room = SPAN // 64
-    cut = conversations.select(
+    rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
-        F.when(bare, F.lit("")).otherwise(mark).alias("mark"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"),
-    ).select("conv_id", "turn", "role", "mark", F.posexplode("lines").alias("i", "line"))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    placed = _first_lines(rows)
+    cut = placed.select(
+        "conv_id", "first", "role", F.when(bare, F.lit("")).otherwise(mark).alias("mark"), F.split("text", "\n").alias("lines")
+    ).select("conv_id", "first", "role", "mark", F.posexplode("lines").alias("i", "line"))
     return cut.select(
         "conv_id",
-        (F.coalesce("turn", F.lit(0)) * room + F.least("i", F.lit(room - 1))).alias("line_no"),
+        (F.col("first") + F.col("i")).alias("line_no"),
         F.when(F.col("i") == 0, F.concat("mark", "line")).otherwise(F.col("line")).alias("line"),
         "role",
         (F.col("i") == 0).alias("starts"),
     )
+
+
+def _first_lines(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, text) with `first`, the lines of the rows before in their conversation."""
+    part = F.floor(F.coalesce("turn", F.lit(-1)) / TURNS)
+    sized = rows.withColumns({"part": part, "n": F.size(F.split("text", "\n")).cast("long")})
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sized.groupBy("conv_id", "part").agg(F.sum("n").alias("own"))
+    totals = totals.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("passed"))
+    inside = Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    here = sized.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    joined = here.join(totals, here["conv_id"].eqNullSafe(totals["c"]) & (here["part"] == totals["p"]))
+    return joined.withColumn("first", F.col("passed") + F.col("here")).drop("part", "n", "c", "p", "passed", "here")
