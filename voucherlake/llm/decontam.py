@@ -5,8 +5,9 @@ stands on and a random bit of (step, word) tells whether it goes on; windows at
 words at the same steps. Each of several embeddings is sampled several times at a few steps; a window and an item that
 agree in one sample are candidates, and the edit distance of the item to the text there decides.
 
-A window has about as many words as the shorter items of its size class, less its stride. Documents have a window at every stride-th
-word and items one at each of the first stride offsets, so some pair of windows starts at the same word of a passage.
+A window has about as many words as the shorter items of its size class, less its stride, and LONGEST at most. Documents have a window at
+every stride-th word. Items have windows over their whole length, from the first word to the last, each at stride offsets in a
+row, so some pair of windows starts at the same word of a passage wherever its edits lie.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WORD = re.compile(r"[^\W_]+")
 WALKS, SAMPLES, STEPS = 3, 16, 4
 #: Words of items that are held by every task at once; more items are searched in blocks of that size.
 BLOCK_WORDS = 500_000
+#: Words of the longest window; longer items have more windows.
+LONGEST = 64
 #: Words of documents that a task embeds at once.
 TEXT_WORDS = 400_000
 SEED = 7
@@ -40,11 +43,25 @@ def window_of(n: int) -> tuple[int, int]:
     if n < 9:
         return n, 1
     m = 8
-    while m * 2 + m // 2 - 1 <= n:
+    while m < LONGEST and m * 2 + m // 2 - 1 <= n:
         m *= 2
     return m, m // 4
 
 
+def window_starts(n: int) -> list[int]:
+    """Where the windows of an item of n words start: groups of stride offsets in a row, over the whole item.
+
+    Groups follow one another by half a window at most, the first at the first word and the last as far back as it goes.
+    """
+    m, stride = window_of(n)
+    last = n - m - stride + 1
+    if last < 0:
+        return [0]
+    groups = -(-last // (m // 2)) + 1 if m > 1 else last + 1
+    bases = sorted({round(last * k / max(1, groups - 1)) for k in range(groups)})
+    return sorted({base + offset for base in bases for offset in range(stride)})
+
+
 def best_end(masks: dict[int, int], n: int, text: list[int], anchored: bool = False) -> tuple[int, int]:
     """(least edit distance of the pattern to a part of text, end of the first such part), bit-parallel.
 
@@ -106,7 +123,7 @@ class Index:
         starts, owners, text = [], [], []
         for i in members:
             words = self.items[i][1]
-            for offset in range(stride if len(words) >= m + stride - 1 else 1):
+            for offset in window_starts(len(words)):
                 starts.append(len(text) + offset)
                 owners.append((i, offset))
             text += words + [0] * (2 * m)
