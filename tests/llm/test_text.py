@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -180,3 +181,33 @@ def test_decontamination_recall_of_clustered_edits_and_long_items():
                 numbers = np.array(index.numbers(" ".join(words)), np.int32)
                 got += any(r[1] == i for r in index.search(numbers, np.array([0, len(numbers)])))
             assert got >= 0.95 * len(items), (n, kind, got)
+
+
+def test_decontamination_of_a_very_long_item():
+    """An item of 20,000 words among 50,000 distinct words is indexed in little memory, and found edited."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 30_000)}" for _ in range(20_000)]
+    tracemalloc.start()
+    index = decontam.Index([(1, " ".join(words)), (2, " ".join(f"v{i}" for i in range(30_000)))], 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    for at in range(0, 6_000, 2):
+        words[at] = "other"
+    numbers = np.array(index.numbers(" ".join(["f"] * 50 + words)), np.int32)
+    # the first word is an edit, so the part that is nearest starts behind it or with it
+    found = [(r[1], r[2]) for r in index.search(numbers, np.array([0, len(numbers)]))]
+    assert found == [(index_of(index, 1), 3_000)]
+
+
+def index_of(index, item_id):
+    return next(i for i, (own, _, _) in enumerate(index.items) if own == item_id)
+
+
+def test_places_of_long_patterns_equal_bits(monkeypatch):
+    words = [3, 1, 3, 2, 9, 3, 1] * 5
+    held = decontam._masks(words)
+    monkeypatch.setattr(decontam, "BITS_HELD", 3)
+    made = decontam._masks(words)
+    assert {w: made.get(w, 0) for w in range(12)} == {w: held.get(w, 0) for w in range(12)}
+    assert (2 in made) and (4 not in made)

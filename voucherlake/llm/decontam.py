@@ -8,11 +8,15 @@ agree in one sample are candidates, and the edit distance of the item to the tex
 A window has about as many words as the shorter items of its size class, less its stride, and LONGEST at most. Documents have a window at
 every stride-th word. Items have windows over their whole length, from the first word to the last, each at stride offsets in a
 row, so some pair of windows starts at the same word of a passage wherever its edits lie.
+
+The random bits are computed from (walk, step, word), so an index takes memory by the words of its items only. Tasks get a block of
+items as texts and index it themselves; the driver holds the texts of one block at a time.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +34,8 @@ WALKS, SAMPLES, STEPS = 3, 16, 4
 BLOCK_WORDS = 500_000
 #: Words of the longest window; longer items have more windows.
 LONGEST = 64
+#: Words of an item beyond which the places of a word are held as numbers and made to bits when asked for.
+BITS_HELD = 4096
 #: Words of documents that a task embeds at once.
 TEXT_WORDS = 400_000
 SEED = 7
@@ -88,13 +94,39 @@ def best_end(masks: dict[int, int], n: int, text: list[int], anchored: bool = Fa
     return best, end
 
 
+class _Places(dict):
+    """Places of the words of a long pattern; get() makes their bits."""
+
+    def get(self, word: int, default: int = 0) -> int:
+        places = super().get(word)
+        if places is None:
+            return default
+        bits = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+
 def _masks(words: list[int]) -> dict[int, int]:
+    if len(words) > BITS_HELD:
+        places: dict[int, list[int]] = defaultdict(list)
+        for i, word in enumerate(words):
+            places[word].append(i)
+        return _Places(places)
     masks: dict[int, int] = defaultdict(int)
     for i, word in enumerate(words):
         masks[word] |= 1 << i
     return dict(masks)
 
 
+def _mixed(text: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each word number."""
+    x = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Index:
     """A block of benchmark items, ready for search. items: (item_id, text)."""
 
@@ -116,7 +148,7 @@ class Index:
     def _sketch(self, m: int, stride: int, members: list[int]):
         """What it takes to look up a window of m words: the walks, the sampled steps, the items' samples."""
         rng = np.random.default_rng((SEED, m))
-        walks = rng.integers(0, 2, (WALKS, 2 * m, len(self.number) + 1), dtype=np.uint8)
+        walks = rng.integers(0, 2**63, (WALKS, 2 * m), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         factors = rng.integers(0, 2**63, (WALKS, 2 * m), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         steps = min(STEPS, 2 * m)
         sampled = [[np.sort(rng.choice(2 * m, steps, replace=False)).tolist() for _ in range(SAMPLES)] for _ in range(WALKS)]
@@ -135,7 +167,7 @@ class Index:
             order = np.argsort(keys, kind="stable")
             light = np.zeros(1 << 16, bool)
             light[(keys >> np.uint64(48)).astype(np.int64)] = True
-            tables.append((keys[order], order, light))
+            tables.append((keys[order], order.astype(np.int32), light))
         return sketch | {"tables": tables}
 
     def _samples(self, text: np.ndarray, starts: np.ndarray, sketch: dict) -> Iterator[np.ndarray]:
@@ -143,7 +175,8 @@ class Index:
 
         A walk of 2m steps stands on m words in the mean; text goes on for 2m words after the last start.
         """
-        for bits, factors, sampled in zip(sketch["walks"], sketch["factors"], sketch["sampled"]):
+        mixed = _mixed(text)
+        for turns, factors, sampled in zip(sketch["walks"], sketch["factors"], sketch["sampled"]):
             needed = {step for steps in sampled for step in steps}
             at = starts.copy()
             emitted = {}
@@ -151,7 +184,8 @@ class Index:
                 word = text[at]
                 if step in needed:
                     emitted[step] = word.astype(np.uint64) * factors[step]
-                at += bits[step][word]
+                # the bit of (walk, step, word) is the top one of a multiple of the mixed word
+                at += (mixed[at] * turns[step] >> np.uint64(63)).astype(np.int32)
             for steps in sampled:
                 keys = emitted[steps[0]].copy()
                 for step in steps[1:]:
@@ -233,7 +267,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, words = [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropDuplicates().toLocalIterator():
         block.append((row[0], row[1]))
-        words += len(row[1] or "") // 6 + 1
+        words += sum(1 for _ in WORD.finditer(row[1] or "")) + 1
         if words >= BLOCK_WORDS:
             yield block
             block, words = [], 0
@@ -241,6 +275,17 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+_indexed: dict[str, Index] = {}
+
+
+def _index(name: str, block: list[tuple[int, str]], similarity: float) -> Index:
+    """The index of a block, made once in each worker process; only the last one is held."""
+    if name not in _indexed:
+        _indexed.clear()
+        _indexed[name] = Index(block, similarity)
+    return _indexed[name]
+
+
 def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, distance, n_words, start_word, end_word): the benchmark items found in the documents.
 
@@ -254,10 +299,10 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
     types = dict.fromkeys(("doc_id", "item_id"), pa.int64()) | dict.fromkeys(("distance", "n_words", "start_word", "end_word"), pa.int32())
     found = None
     for block in _blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, similarity)
 
             def searched(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
