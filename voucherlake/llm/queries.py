@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, quality, simhash, url_filter, warc
+from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, quality, quality_rules, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op13_quality_rules",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    places AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i,
+                      unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS x FROM w),
+    windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS copies FROM places),
+    covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE copies > 1) GROUP BY r),
+    m AS (SELECT doc_id, t, ls, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                 len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+          FROM w LEFT JOIN covered USING (r)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT (base_failed
+        OR NOT (word_chars / n_words BETWEEN 2.5 AND 15)
+        OR 10 * n_symbols > n_words
+        OR 2 * n_dup_lines > len(ls)
+        OR 10 * length(regexp_replace(t, '\P{L}+', '', 'g')) < 7 * word_chars
+        OR 10 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > 4 * word_chars
+        OR len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) / greatest(len(ls), 1) > 0.3
+        OR len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣●]'))) / greatest(len(ls), 1) > 0.9
+        OR 100 * (length(t) - length(regexp_replace(t, '[\x00-\x08\x0E-\x1F\x{FFFD}]+', '', 'g'))) > word_chars) AS kept
+    FROM b""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
