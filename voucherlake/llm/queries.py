@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, quality, quality_rules, simhash, url_filter, warc
+from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, periodic, quality, quality_rules, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +125,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32(doc_id), h % 10 = 0 and g = h / 10, words from number g % n on repeat with a period by g."""
+    seed = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(seed / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        first = (g % n).cast("int")
+        return F.struct(words.alias("words"), first.alias("a"), (F.floor((n - first) / (3 + g % 8)) + 1).cast("int").alias("p"))
+
+    def written(v: Column) -> Column:
+        words, a, p = v["words"], v["a"], v["p"]
+        return F.array_join(F.transform(words, lambda w, i: F.when(i >= a, F.get(words, a + (i - a) % p)).otherwise(w)), " ")
+
+    def let(value: Column, function: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), function), 0)
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    changed = let(words, lambda w: F.when(F.size(w) > 0, let(repeated(w), written)))
+    return docs.select("doc_id", F.when(seed % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_repeats(table(spark, sf_dir, "documents"))
+    return periodic.described(periodic.periodic_runs(docs, digest=True))
+
+
 @query(
     "op13_quality_rules",
     r"""
