@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, periodic, quality, quality_rules, simhash, url_filter, warc
+from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, periodic, quality, quality_rules, simhash, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def planted_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text): with h = crc32(doc_id), h % 10 = 0 and g = h / 10, words from number g % n on repeat with a period by g."""
     seed = F.crc32(F.col("doc_id").cast("string"))

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from voucherlake.llm.staging import staged
 
 #: Vectors in one stored block; search space at the most and after a cut; MINRES steps; rounds; residual over the largest value.
-BLOCK_ROWS, SPACE, AFTER_CUT, INNER, ROUNDS = 4096, 40, 12, 8, 200
+BLOCK_ROWS, SPACE, AFTER_CUT, INNER, ROUNDS = 4096, 40, 12, 5, 200
+#: Stored bytes that one task multiplies, and partial sums that one task adds up.
+TASK_BYTES, FAN_IN = 32 << 20, 1024
 PRECISION = 64 * np.finfo(float).eps
 SCALE = 256
 Product = Callable[[np.ndarray], np.ndarray]
@@ -118,23 +120,31 @@ def _sums(blocks: DataFrame, size: int) -> tuple[int, list[int]]:
     return (rows[0]["n"] if rows else 0), sums
 
 
-def _over_blocks(blocks: DataFrame, size: int, shape: int, of: Callable[[np.ndarray], np.ndarray], mean: np.ndarray) -> np.ndarray:
-    """The sum over all blocks of `of(centred block)`, an array of `shape` numbers; one pass, one row a partition is summed."""
+def _over_blocks(blocks: DataFrame, tasks: int, size: int, shape: int, of: Callable[[np.ndarray], np.ndarray], mean: np.ndarray) -> np.ndarray:
+    """The sum over all blocks of `of(centred block)`, an array of `shape` numbers, in one pass.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each task gives one partial sum; FAN_IN of them are added in a task, and the driver adds what these give.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             for rows, block in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = block.as_buffer()
                 x = np.frombuffer(raw, "<f4" if len(raw) == 4 * rows * size else "<f8").reshape(rows, size) - mean
                 total += of(x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(shape), pa.int32()), pa.array(total)], ["i", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                total += np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = blocks.select("rows", "block").mapInArrow(run, "i int, part double")
-    found = np.zeros(shape)
-    for i, total in parts.groupBy("i").agg(F.sum("part")).collect():
-        found[i] = total
-    return found
+    parts = blocks.select("rows", "block").mapInArrow(summed, "part binary")
+    sums = parts.repartition(-(-tasks // FAN_IN)).mapInArrow(added, "part binary")
+    return sum((np.frombuffer(row.part) for row in sums.collect()), np.zeros(shape))
 
 
 def _minres(theta: float, locked: np.ndarray, residual: np.ndarray, steps: int, least: float) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +257,9 @@ def jacobi_davidson(product: Product, size: int, count: int) -> tuple[np.ndarray
 
 def components(codes: DataFrame, size: int, count: int = 4) -> Components:
     """The leading components of the distinct codes (code) of vectors with `size` entries; those without variance are left out."""
-    blocks = staged(_blocks(codes, size), "blocks")
+    stored = codes.agg(F.sum(F.length("code"))).first()[0] or 0
+    tasks = max(codes.sparkSession.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
+    blocks = staged(_blocks(codes.coalesce(tasks), size), "blocks")
     n, sums = _sums(blocks, size)
     if not n or not size:
         return Components(n, sums, np.zeros(0), np.zeros((size, 0)), 0.0, None, 0, 0)
@@ -257,10 +269,10 @@ def components(codes: DataFrame, size: int, count: int = 4) -> Components:
     def product(vectors: np.ndarray) -> np.ndarray:
         nonlocal passes
         passes += 1
-        total = _over_blocks(blocks, size, vectors.size, lambda x: (x.T @ (x @ vectors)).ravel(), mean)
+        total = _over_blocks(blocks, tasks, size, vectors.size, lambda x: (x.T @ (x @ vectors)).ravel(), mean)
         return total.reshape(vectors.shape) / n
 
-    trace = float(_over_blocks(blocks, size, 1, lambda x: np.array([np.vdot(x, x)]), mean)[0]) / n
+    trace = float(_over_blocks(blocks, tasks, size, 1, lambda x: np.array([np.vdot(x, x)]), mean)[0]) / n
     if trace == 0:
         return Components(n, sums, np.zeros(0), np.zeros((size, 0)), trace, None, 0, 1)
     values, vectors, rounds = jacobi_davidson(product, size, min(count, size))
@@ -272,7 +284,7 @@ def components(codes: DataFrame, size: int, count: int = 4) -> Components:
         y = x @ scaled
         return np.concatenate([y.sum(axis=0), (y.T @ y).ravel()])
 
-    found = _over_blocks(blocks, size, k + k * k, moments, mean) / n
+    found = _over_blocks(blocks, tasks, size, k + k * k, moments, mean) / n
     covariance = found[k:].reshape(k, k) - np.outer(found[:k], found[:k])
     return Components(n, sums, values, vectors, trace, float(np.abs(covariance - np.eye(k)).max(initial=0)), rounds, passes)
 
