@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, quality, queries, simhash, url_filter, warc
+from voucherlake.llm import bpe, chat, decontam, language, line_dedup, media, quality, queries, shingles, simhash, url_filter, warc
 
 ODD = [(None, None), (None, "a b c"), (1, None), (2, ""), (3, "  \n "), (4, "word " * 3_000), (5, "x" * 5_000), (5, "x" * 5_000)]
 CLASHES = ["key", "hash", "rank", "words", "component_id", "__kept", "first", "ids", "rule", "digest", "line", "n_lines", "pattern"]
@@ -22,7 +22,7 @@ OPERATORS = {
     "quality": quality.score,
     "keep_good": quality.keep_good,
     "simhash": simhash.near_duplicates,
-    "keep_one": simhash.keep_one,
+    "keep_one": shingles.keep_one,
     "lines": lambda df: line_dedup.dedup_lines(df, 3),
     "without_repeats": lambda df: line_dedup.without_repeats(df, 3),
     "matches": lambda df: decontam.matches(df, df.select(F.col("doc_id").alias("item_id"), "text")),

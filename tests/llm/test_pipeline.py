@@ -3,9 +3,10 @@ import hashlib
 import __spark_entry__ as entry
 import corpus_pipeline
 from test_dedup import plain_dedup
+from test_shingles import plain_components
 from test_text import reference
 
-from voucherlake.llm import decontam, quality, simhash
+from voucherlake.llm import decontam, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,14 +18,8 @@ def test_run_against_brute_force(spark):
     kept = {r.doc_id for r in quality.score(df).where("keep").collect()}
     rows = sorted((r.doc_id, r.text) for r in df.collect() if r.doc_id in kept)
     rows = sorted((i, t) for i, t in plain_dedup(rows, 50).items() if t or not dict(rows)[i])
-    codes = {i: simhash.fingerprint(t, 5) for i, t in rows}
-    least = {i: i for i in codes}
-    for _ in range(20):
-        for a in codes:
-            for b in codes:
-                if (codes[a] ^ codes[b]).bit_count() <= 4:
-                    least[a] = min(least[a], least[b])
-    rows = [(i, t) for i, t in rows if least[i] == i]
+    component, _ = plain_components(rows)
+    rows = [(i, t) for i, t in rows if component[i] == i]
     index = decontam.Index(items, 0.8)
 
     def holds(text):
