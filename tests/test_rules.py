@@ -31,7 +31,7 @@ def test_documents_are_read_from_a_folder(tmp_path):
 def test_rule_tables_agree_with_the_merge(spark):
     from voucherlake.rules.catalog import CATALOG
 
-    rows = tables.effective_rules(tables.rule_rows(spark, CATALOG), levels=2).filter("schema_id = 'toll-invoice'")
+    rows = tables.effective_rules(tables.rule_rows(spark, CATALOG)).filter("schema_id = 'toll-invoice'")
     got = {r.path: json.loads(r.value) for r in rows.collect()}
     merged = {p: json.loads(v) for p, v in tables.flatten(tables.shipped()["toll-invoice"]) if p != "extends"}
     assert got == merged

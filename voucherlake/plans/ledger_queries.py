@@ -370,7 +370,7 @@ def _history(spark, sf):
 
 BATCH_ORDER = ["doc", "line_no", "invoice_line_key"]
 HISTORY_SQL = f"""
-WITH {LINES_SQL}, {INVOICES_SQL},
+WITH RECURSIVE {LINES_SQL}, {INVOICES_SQL},
 keyed AS (SELECT *, {INVOICE_KEY_SQL} AS invoice_key FROM invoices),
 all_rows AS (SELECT k.unit_id, o_orderkey AS doc, o_orderpriority = '3-MEDIUM' AS weak, l.line_no, l.item_name, l.line_amount, l.line_tax_amount,
    l.l_shipdate, k.invoice_key, k.invoice_no, l.line_total_with_tax, k.total_with_tax,
@@ -382,25 +382,34 @@ batch AS (SELECT * FROM all_rows WHERE l_shipdate >= '1996-01-01'),
 prints AS (SELECT unit_id, item_name, line_amount, line_tax_amount FROM history),
 known AS (SELECT b.*, b.invoice_line_key IN (SELECT invoice_line_key FROM history)
    OR (unit_id, item_name, line_amount, line_tax_amount) IN (SELECT ROW(unit_id, item_name, line_amount, line_tax_amount) FROM prints) AS in_ledger FROM batch b),
-judged AS (SELECT invoice_line_key, any_value(weak) AS weak, bool_or(in_ledger) AS in_ledger, count(*) AS n_rows,
-   any_value(invoice_key) AS invoice_key, any_value(invoice_no) AS invoice_no, any_value(unit_id) AS unit_id,
-   any_value(item_name) AS item_name, any_value(line_amount) AS line_amount, any_value(line_tax_amount) AS line_tax_amount,
-   any_value(total_with_tax) AS total_with_tax, any_value(doc) AS doc, any_value(line_no) AS line_no FROM known GROUP BY invoice_line_key)
+steps AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no, invoice_line_key) AS step FROM known),
+walk AS (
+  SELECT DISTINCT doc, 0::BIGINT AS step, []::VARCHAR[] AS drafts, []::VARCHAR[] AS line_keys, false AS repeated FROM steps
+  UNION ALL
+  SELECT doc, step, CASE WHEN weak OR NOT again THEN list_append(drafts, draft_row_id) ELSE drafts END,
+    CASE WHEN weak OR NOT again THEN list_append(line_keys, invoice_line_key) ELSE line_keys END, again
+  FROM (SELECT s.doc, s.step, s.weak, s.draft_row_id, s.invoice_line_key, w.drafts, w.line_keys,
+          s.in_ledger OR list_contains(w.drafts, s.draft_row_id) OR list_contains(w.line_keys, s.invoice_line_key) AS again
+        FROM walk w JOIN steps s ON s.doc = w.doc AND s.step = w.step + 1)),
+decided AS (SELECT s.*, repeated,
+  CASE WHEN repeated AND weak THEN 'added_weak' WHEN repeated THEN 'skipped' ELSE 'added' END AS action
+  FROM steps s JOIN walk USING (doc, step)),
+judged AS (SELECT invoice_line_key, any_value(weak) AS weak, bool_or(in_ledger) AS in_ledger,
+   any_value(unit_id) AS unit_id, any_value(item_name) AS item_name, any_value(line_amount) AS line_amount, any_value(line_tax_amount) AS line_tax_amount
+   FROM known GROUP BY invoice_line_key)
 """
 
 
 @query("ledger_dedup", HISTORY_SQL + """
-SELECT invoice_line_key, n_rows, CASE WHEN weak AND in_ledger THEN 'added_weak' WHEN weak OR NOT in_ledger THEN 'added' ELSE 'skipped' END AS action
-FROM judged""")
+SELECT invoice_line_key, draft_row_id, count(*) AS n_rows, action FROM decided GROUP BY ALL""")
 def ledger_dedup(spark, sf):
     history, batch = _history(spark, sf)
-    return dedup.dedup(batch, dedup.ledger_keys(history), BATCH_ORDER).select("invoice_line_key", "n_rows", "action")
+    return dedup.dedup(batch, dedup.ledger_keys(history), BATCH_ORDER).select("invoice_line_key", "draft_row_id", "n_rows", "action")
 
 
 @query("ledger_new_rows", HISTORY_SQL + """
-SELECT k.invoice_line_key, CASE WHEN weak AND in_ledger THEN '疑似重复（弱身份票），请人工确认' ELSE '' END AS context_remark
-FROM known k WHERE weak
-UNION ALL SELECT invoice_line_key, '' FROM judged WHERE NOT weak AND NOT in_ledger""")
+SELECT invoice_line_key, CASE WHEN repeated THEN '疑似重复（弱身份票），请人工确认' ELSE '' END AS context_remark
+FROM decided WHERE action <> 'skipped'""")
 def ledger_new_rows(spark, sf):
     history, batch = _history(spark, sf)
     return dedup.new_rows(batch, dedup.ledger_keys(history), BATCH_ORDER).select("invoice_line_key", "context_remark")
@@ -423,11 +432,14 @@ def duplicate_locations(spark, sf):
 @query("duplicate_notices", HISTORY_SQL + f""",
 by_line AS (SELECT invoice_line_key, max(row_sequence) AS r FROM history GROUP BY ALL),
 by_print AS (SELECT unit_id, item_name, line_amount, line_tax_amount, min(row_sequence) AS r FROM history GROUP BY ALL),
-located AS (SELECT j.*, coalesce(l.r, p.r) AS r FROM judged j LEFT JOIN by_line l USING (invoice_line_key)
-  LEFT JOIN by_print p USING (unit_id, item_name, line_amount, line_tax_amount) WHERE j.in_ledger)
+by_number AS (SELECT invoice_no, min(row_sequence) AS r FROM history WHERE NOT weak GROUP BY ALL),
+located AS (SELECT j.*, coalesce(l.r, p.r, n.r) AS r FROM decided j LEFT JOIN by_line l USING (invoice_line_key)
+  LEFT JOIN by_print p USING (unit_id, item_name, line_amount, line_tax_amount)
+  LEFT JOIN by_number n ON NOT j.weak AND n.invoice_no = j.invoice_no WHERE j.action <> 'added')
 SELECT {key_sql('notice_', 'invoice_key', "'疑似重复'", "CASE WHEN NOT weak THEN invoice_no END")} AS notice_id,
   CASE WHEN weak THEN '已写入' ELSE '未写入' END AS severity,
-  '采集表第 ' || arg_min(r, ROW(doc, line_no, invoice_line_key)) || ' 行' AS check_location, min(total_with_tax) AS amount_total, min(unit_id) AS unit_id
+  arg_min(CASE WHEN r IS NOT NULL THEN '采集表第 ' || r || ' 行' WHEN weak THEN '采集表按文件名或金额搜索' ELSE '采集表按发票号码搜索' END,
+    ROW(doc, line_no, invoice_line_key)) AS check_location, min(total_with_tax) AS amount_total, min(unit_id) AS unit_id
 FROM located GROUP BY invoice_key, weak, invoice_no""")
 def duplicate_notices(spark, sf):
     history, batch = _history(spark, sf)

@@ -38,7 +38,7 @@ def append_ledger(batch: DataFrame, path: str, order: list[str], replace_existin
     existing = read_table(spark, f"{path}/rows", like)
     keys = dedup.ledger_keys(existing)
     judged = staged(dedup.dedup(kept, keys, order, [c for c in dedup.CARRIED if c in kept.columns]), "judged")
-    fresh = dedup.new_rows(kept, keys, order)
+    fresh = dedup.new_rows(kept, keys, order, judged)
     numbered = ledger.continue_sequence(fresh, existing, order).withColumn("row_sequence", F.col("row_sequence").cast("bigint"))
     numbered.select(like.columns).write.mode("append").partitionBy("run_id").parquet(f"{path}/rows")
     return judged
