@@ -45,9 +45,11 @@ def test_url_parts_and_rules(spark):
 def test_url_model_is_native_and_separates(spark):
     scored = url_filter.judge(spark.read.parquet(f"{DATA}/pages.parquet"), [])
     assert "Python" not in scored._jdf.queryExecution().toString()
-    bad = F.col("host").rlike("ads-track|cheap-pills|free-bets")
-    wrong = scored.where(bad != (F.col("verdict") == "block")).count()
-    assert wrong <= 0.02 * scored.count()
+    names = ["ads-track", "cheap-pills", "free-bets", "spam-farm", "casino-win", "adult-x"]
+    assert not set(names) & set(url_filter.BLOCKED_NAMES)  # none of the hosts to find was learnt from
+    bad = F.col("host").rlike(rf"(^|\.)({'|'.join(names)})\.")
+    assert scored.where(bad & (F.col("verdict") != "block")).count() == 0 and scored.where(bad).count() > 10
+    assert scored.where(~bad & (F.col("verdict") == "block")).count() <= 0.02 * scored.count()
 
 
 def test_warc_is_readable_by_gzip_and_skips(spark):

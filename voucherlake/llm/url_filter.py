@@ -17,18 +17,24 @@ DIMENSIONS, GRAMS = 1 << 14, (3, 4, 5)
 INLINE_RULES = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A small labelled URL table. Names of hosts to block, and of ordinary hosts; each stands under several
-# subdomains, endings and paths (see labelled_urls), which thereby tell nothing.
+# A small labelled URL table. Names as hosts of advertising, pills, betting, adult sites, spam and fraud have
+# them, and English names of ordinary sites; each stands under several subdomains, endings and paths (see labelled_urls), which
+# thereby tell nothing. Words of the one kind also stand in names of the other (free-software, link-farm and farmers-market).
 BLOCKED_NAMES = [
-    "ads-track", "ad-server", "adclick", "banner-ads", "click-track", "track-pixel", "popup-ads", "cheap-pills", "cheap-meds",
-    "buy-pills", "pills-online", "discount-pharma", "free-bets", "best-bets", "casino-bonus", "online-casino", "free-spins",
-    "poker-win", "slots-jackpot", "win-cash", "xxx-cams", "hot-cams", "adult-dates", "payday-loans", "replica-watches",
-]
+    "adserver", "ad-network", "ads-popup", "banner-ads", "clicktracker", "track-users", "pixel-track", "popunder", "cheap-meds", "cheap-viagra",
+    "online-pills", "pill-shop", "discount-pharma", "free-casino", "royal-casino", "casino-bonus", "win-big", "win-cash", "poker-room",
+    "slots-jackpot", "sports-bets", "betting-odds", "live-bets", "free-spins", "adult-video", "adult-chat", "adult-dates", "adult-movies", "xxx-tube", "x-rated", "sex-cams",
+    "escort-dates", "spam-mail", "spam-relay", "link-farm", "click-farm", "payday-loans", "replica-watches", "warez-crack", "phish-login",
+    "malware-drop", "miracle-diet",
+]
 ORDINARY_NAMES = [
-    "library", "weather", "history-notes", "school", "garden", "museum", "travel-notes", "recipes", "science", "cityhall",
-    "thether", "ththand", "therering", "tionand", "thatinth", "ererand", "thonth", "edthing", "ouring", "shenthe",
-    "newsroom", "cycling", "books", "open-data", "mountain",
-]
+    "library", "weather", "history-notes", "school", "garden", "museum", "travel-notes", "recipes", "science", "city-hall", "newsroom",
+    "cycling", "books", "open-data", "mountain", "river-walks", "theatre", "northern-lights", "teacher", "kitchen", "hospital", "university",
+    "railway", "farmers-market", "free-software", "winter-sports", "railway-tracks", "adult-education", "health", "forum", "music", "photos",
+    "maps", "chess", "astronomy", "biology", "translation", "dictionary", "bread", "tea-house", "harbour", "lighthouse", "anthology", "thread",
+    "thunder", "together", "southern-coast", "weekend", "gathering", "feathers", "another-day", "meditation", "stationery", "nation-parks",
+    "athletics", "mathematics", "orchestra", "heritage", "threshold", "shoreline", "what-is-new", "hat-makers",
+]
 SUBDOMAINS = ["", "www.", "blog.", "m."]
 ENDINGS = [".example.com", ".example.net", ".example.org"]
 PATHS = ["/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}?page=2&ref=x", "/en/{n}#top", "/{n}?utm_source=feed"]
