@@ -18,10 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voucherlake.llm.staging import small, staged, whole_texts
 from voucherlake.session import fresh_path
 
 #: Bytes of one row of pixels; a payload is padded with blanks to a positive multiple.
 ROW_BYTES = 192
+#: References to one digest beyond which they are not shuffled by digest; words of a document's caption.
+HOT, CAPTION_WORDS = 1000, 8
 _HEADER = re.compile(rb"P6\n64 (\d+)\n255\n")
 _SILENT = {"script", "style", "template", "noscript"}
 _BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th title tr ul".split())
@@ -161,34 +164,54 @@ def described(media: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of sequences() with the columns of `known` (one row per digest); positions and captions stay beside them.
 
-    A text, or a reference to a digest that is not known, has nulls there.
+    A text, or a reference to a digest that is not known, has nulls there. References are counted by digest first: those to a
+    digest with more than HOT of them are not shuffled to one task, if what is known of these digests measures small enough to
+    be broadcast. items is read twice.
     """
-    return items.join(known, "digest", "left")
+    counted = items.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"))
+    hot = staged(counted.where(F.col("copies") > HOT).select("digest"), "hot")
+    if not hot.take(1):
+        return items.join(known, "digest", "left")
+    shared = small(staged(known.join(small(hot), "digest", "left_semi"), "shared"), row_bytes=512)
+    often = items.join(small(hot), "digest", "left_semi").join(shared, "digest", "left")
+    return items.join(small(hot), "digest", "left_anti").join(known, "digest", "left").unionByName(often)
+
+
+def _illustrated(text: Column, image: Column) -> Column:
+    """A page of the paragraphs (lines) of a text with a figure after the first one, whose caption is the text's first words."""
+    safe = text
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(sign), F.lit(entity))
+
+    def of(lines: Column) -> Column:
+        rest = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "")
+        caption = F.array_join(F.slice(F.split(F.trim(F.get(lines, 0)), " "), 1, CAPTION_WORDS), " ")
+        return F.concat(
+            F.lit("<p>"), F.get(lines, 0), F.lit("</p><figure>"), image, F.lit("<figcaption>"), caption, F.lit("</figcaption></figure>"), rest
+        )
+
+    return F.get(F.transform(F.array(F.split(safe, "\n")), of), 0)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Stores every text as a pixmap, refers to it from a page of its own, and resolves the reference.
+    """Stores every text as a pixmap, sets the image among the text's own paragraphs, and resolves the reference there.
 
-    (doc_id, position, caption, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of
-    every row of docs (doc_id, text, lang); a null text is empty. Equal texts have equal values; a repeated or null doc_id
-    keeps its rows; other columns are not read.
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption) of every row
+    of docs (doc_id, text): what is known of the stored image, and where it stands in the sequence of the page's texts and
+    media. A null text is empty: its page is the image alone. Equal texts have equal values; a repeated or null doc_id keeps its
+    rows; other columns are not read.
     """
     spark = docs.sparkSession
-    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("page_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), raw.alias("raw")
-    ).select("page_id", "lang", F.length("raw").alias("n"), padded(F.col("raw")).alias("payload"))
+    texts = whole_texts(docs).select(F.col("doc_id").alias("page_id"), F.coalesce("text", F.lit("")).alias("text"))
+    raw = F.encode("text", "UTF-8")
+    keyed = texts.select("page_id", "text", raw.alias("raw")).select("page_id", "text", F.length("raw").alias("n"), padded(F.col("raw")).alias("payload"))
     path = fresh_path(spark, "media")
     stored = keyed.select(F.sha2("payload", 256).alias("digest"), pixmap(F.col("payload")).alias("media"))
     stored.write.option("compression", "zstd").parquet(path)
-    escaped = F.replace(F.replace(F.col("lang"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    page = F.concat(
-        F.lit('<figure><img data-bytes="'), F.col("n").cast("string"), F.lit('" src="sha256:'), F.sha2("payload", 256),
-        F.lit('"><figcaption>'), escaped, F.lit("</figcaption></figure>"),
-    )
-    items = sequences(keyed.select("page_id", page.alias("html"))).where("kind = 'media'")
+    image = F.concat(F.lit('<img data-bytes="'), F.col("n").cast("string"), F.lit('" src="sha256:'), F.sha2("payload", 256), F.lit('">'))
+    items = sequences(keyed.select("page_id", _illustrated(F.col("text"), image).alias("html"))).where("kind = 'media'")
     known = described(spark.read.schema(stored.schema).parquet(path))
-    return resolve(items, known).select(
-        F.col("page_id").alias("doc_id"), "position", "caption", F.col("attributes")["data-bytes"].cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+    return resolve(staged(items, "references"), known).select(
+        F.col("page_id").alias("doc_id"), F.col("attributes")["data-bytes"].cast("long").alias("n_bytes"),
+        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption",
     )
