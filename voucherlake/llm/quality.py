@@ -130,15 +130,17 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, flo
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern): the votes of all labellers as one number in base 3."""
+    """(doc_id, text_hash, pattern): the votes of all labellers as one number in base 3, and what tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
             cast = np.array([votes(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(LABELLERS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((cast + 1) @ weights)], ["doc_id", "pattern"])
+            columns = [batch.column(0), batch.column(2), pa.array((cast + 1) @ weights)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "pattern"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, pattern long")
+    hashed = whole_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, pattern long")
 
 
 def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray) -> np.ndarray:
@@ -158,7 +160,10 @@ def fit_scorer(slots: list[np.ndarray], values: list[np.ndarray], targets: np.nd
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """The weights of the scorer. Votes are counted over all documents; it is fitted on sample_docs of them at most."""
+    """The weights of the scorer. Votes are counted over all rows; it is fitted on sample_docs distinct rows at most.
+
+    Those have the least hash of doc_id and text; rows that repeat both are one, and rows that share or lack an id are not.
+    """
     marked = staged(vote_patterns(docs), "votes")
     # at most 3^8 rows, whatever the input
     rows = marked.groupBy("pattern").count().collect()
@@ -168,9 +173,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     posterior, _, _ = fit_votes(patterns, np.array([r["count"] for r in rows], float))
     by_code = dict(zip(codes.tolist(), posterior.tolist()))
-    chosen = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "__chosen"))  # sample_docs rows of two numbers
-    texts = whole_texts(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")))
+    row = ["doc_id", "text_hash"]
+    chosen = marked.dropDuplicates(row).orderBy(F.xxhash64(*row), *row).limit(sample_docs)
+    # sample_docs rows of three numbers
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__chosen"), F.col("text_hash").alias("__hash"), "pattern"))
+    own = F.col("doc_id").eqNullSafe(F.col("__chosen")) & (F.xxhash64("text") == F.col("__hash"))
+    texts = whole_texts(docs).join(chosen, own).dropDuplicates(["__chosen", "__hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,8 +209,8 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, quality double, keep boolean) of every row of docs (doc_id, text).
 
     quality: the scorer's probability that the text is good; keep: it is at least KEEP_FROM. Null, empty and blank texts have
-    no word, which is bad; they share one score. Equal texts have equal scores; rows that repeat a doc_id count once in the
-    fit and keep their rows. Other columns are not read. An empty table gives no rows.
+    no word, which is bad; they share one score. Equal texts have equal scores; rows that repeat a doc_id and a
+    text count once in the fit and keep their rows. Other columns are not read. An empty table gives no rows.
     """
     scored = whole_texts(docs).select("doc_id", _scorer(docs, sample_docs)(F.col("text")).alias("quality"))
     return scored.withColumn("keep", F.col("quality") >= KEEP_FROM)
