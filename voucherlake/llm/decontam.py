@@ -9,8 +9,9 @@ A window has about as many words as the shorter items of its size class, less it
 every stride-th word. Items have windows over their whole length, from the first word to the last, each at stride offsets in a
 row, so some pair of windows starts at the same word of a passage wherever its edits lie.
 
-The random bits are computed from (walk, step, word), so an index takes memory by the words of its items only. Tasks get a block of
-items as texts and index it themselves; the driver holds the texts of one block at a time.
+The random bits are computed from (walk, step, word), the word by a hash of its own, so neither the order nor the blocks of items,
+nor the batches of documents, change what is found, and an index takes memory by the words of its items only. Tasks get a
+block of items as texts and index it themselves; the driver holds the texts of one block at a time.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.llm.staging import whole_texts, without
 
 WORD = re.compile(r"[^\W_]+")
-#: Embeddings, samples of each, and steps in a sample. Measured recall is in tests/llm/test_decontam.py.
+#: Embeddings, samples of each, and steps in a sample. Recall is measured in tests/llm/test_text.py.
 WALKS, SAMPLES, STEPS = 3, 16, 4
 #: Words of items that are held by every task at once; more items are searched in blocks of that size.
 BLOCK_WORDS = 500_000
@@ -119,12 +122,9 @@ def _masks(words: list[int]) -> dict[int, int]:
     return dict(masks)
 
 
-def _mixed(text: np.ndarray) -> np.ndarray:
-    """64 well-mixed bits of each word number."""
-    x = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _code(word: bytes) -> int:
+    """64 bits of a word, the same in every block of items."""
+    return xxhash.xxh3_64_intdigest(word, SEED)
 
 
 class Index:
@@ -138,6 +138,8 @@ class Index:
             if words:
                 self.items.append((item_id, words, int(len(words) * (1 - similarity) + 1e-9)))
         self.raw_number = {word.encode("utf-8", "surrogatepass"): n for word, n in self.number.items()}
+        # number -> code; the number 0 stands for no word
+        self.codes = np.array([0, *map(_code, self.raw_number)], np.uint64)
         self.masks = [_masks(words) for _, words, _ in self.items]
         self.mirrored = [_masks(words[::-1]) for _, words, _ in self.items]
         classes = defaultdict(list)
@@ -152,60 +154,63 @@ class Index:
         factors = rng.integers(0, 2**63, (WALKS, 2 * m), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         steps = min(STEPS, 2 * m)
         sampled = [[np.sort(rng.choice(2 * m, steps, replace=False)).tolist() for _ in range(SAMPLES)] for _ in range(WALKS)]
-        starts, owners, text = [], [], []
+        starts, owners, text, ends = [], [], [], []
         for i in members:
             words = self.items[i][1]
             for offset in window_starts(len(words)):
                 starts.append(len(text) + offset)
                 owners.append((i, offset))
-            text += words + [0] * (2 * m)
+            text += words + [0]
+            ends += [len(text) - 1] * (len(owners) - len(ends))
         sketch = {"m": m, "stride": stride, "walks": walks, "factors": factors, "sampled": sampled}
         sketch["owners"] = np.array(owners, np.int64)
         sketch["most"] = max(self.items[i][2] for i in members)
         tables = []
-        for keys in self._samples(np.array(text, np.int32), np.array(starts, np.int32), sketch):
+        for keys in self._samples(self.codes[text], np.array(starts, np.int32), np.array(ends, np.int32), sketch):
             order = np.argsort(keys, kind="stable")
             light = np.zeros(1 << 16, bool)
             light[(keys >> np.uint64(48)).astype(np.int64)] = True
             tables.append((keys[order], order.astype(np.int32), light))
         return sketch | {"tables": tables}
 
-    def _samples(self, text: np.ndarray, starts: np.ndarray, sketch: dict) -> Iterator[np.ndarray]:
+    def _samples(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, sketch: dict) -> Iterator[np.ndarray]:
         """For each walk and sample, a 64-bit key of every window: the words it emits at the sampled steps.
 
-        A walk of 2m steps stands on m words in the mean; text goes on for 2m words after the last start.
+        A walk of 2m steps stands on m words in the mean; at the end of its text (ends, a place without a word) it stays.
         """
-        mixed = _mixed(text)
         for turns, factors, sampled in zip(sketch["walks"], sketch["factors"], sketch["sampled"]):
             needed = {step for steps in sampled for step in steps}
             at = starts.copy()
             emitted = {}
             for step in range(max(needed) + 1):
-                word = text[at]
+                word = codes[at]
                 if step in needed:
-                    emitted[step] = word.astype(np.uint64) * factors[step]
-                # the bit of (walk, step, word) is the top one of a multiple of the mixed word
-                at += (mixed[at] * turns[step] >> np.uint64(63)).astype(np.int32)
+                    emitted[step] = word * factors[step]
+                # the bit of (walk, step, word) is the top one of a multiple of the word's code
+                at += (word * turns[step] >> np.uint64(63)).astype(np.int32)
+                np.minimum(at, ends, out=at)
             for steps in sampled:
                 keys = emitted[steps[0]].copy()
                 for step in steps[1:]:
                     keys += emitted[step]
                 yield (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
-    def candidates(self, text: np.ndarray) -> np.ndarray:
-        """(item, start) rows, sorted: where in text an item may start."""
+    def candidates(self, text: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(item, start) rows, sorted: where in text an item may start; each document ends with a place without a word."""
         known = np.concatenate([[0], np.cumsum(text > 0)])
+        sizes = bounds[1:] - bounds[:-1]
         found = [np.zeros((0, 2), np.int64)]
         for sketch in self.classes:
             m = sketch["m"]
-            starts = np.arange(0, len(text), sketch["stride"], dtype=np.int32)
+            each = -(-sizes // sketch["stride"])
+            docs = np.repeat(np.arange(len(sizes)), each)
+            starts = bounds[docs] + (np.arange(len(docs)) - np.repeat(np.cumsum(each) - each, each)) * sketch["stride"]
             # every word that is no word of the benchmark costs an edit
-            enough = known[np.minimum(starts + m, len(text))] - known[starts] >= m - sketch["most"]
-            starts = starts[enough]
+            enough = known[np.minimum(starts + m, bounds[docs + 1])] - known[starts] >= m - sketch["most"]
+            starts, ends = starts[enough].astype(np.int32), (bounds[docs + 1][enough] - 1).astype(np.int32)
             if not len(starts):
                 continue
-            padded = np.concatenate([text, np.zeros(2 * m, np.int32)])
-            for keys, (sorted_keys, order, light) in zip(self._samples(padded, starts, sketch), sketch["tables"]):
+            for keys, (sorted_keys, order, light) in zip(self._samples(codes, starts, ends, sketch), sketch["tables"]):
                 hit = np.flatnonzero(light[keys >> np.uint64(48)])
                 low = np.searchsorted(sorted_keys, keys[hit], "left")
                 count = np.searchsorted(sorted_keys, keys[hit], "right") - low
@@ -217,13 +222,14 @@ class Index:
                 found.append(np.stack([owner[:, 0], starts[hit[several]] - owner[:, 1]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
-    def search(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def search(self, text: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) of the best match of each item in each document that holds it.
 
-        text: word numbers of the documents one after another, document k from bounds[k] to bounds[k + 1].
+        text, codes: word numbers and codes of the documents one after another, document k from bounds[k] to bounds[k + 1], each with
+        a last place without a word.
         """
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        rows = self.candidates(text)
+        rows = self.candidates(text, codes, bounds)
         at = 0
         while at < len(rows):
             item, low = rows[at]
@@ -254,13 +260,27 @@ class Index:
 
     def numbers(self, text: str | None) -> list[int]:
         """The numbers of the words of a text, 0 for words of no item."""
-        if not text:
-            return []
-        low = text.lower()
-        if not low.isascii():
-            low = OTHER_SIGN.sub(" ", low)
         get = self.raw_number.get
-        return [get(word, 0) for word in low.encode("utf-8", "surrogatepass").translate(SIGNS_TO_SPACE).split()]
+        return [get(word, 0) for word in words_of(text)]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, codes) of the words of a text and of the place without a word after them."""
+        words = words_of(text)
+        numbers = np.array([*map(self.raw_number.get, words, repeat(0)), 0], np.int32)
+        codes = self.codes[numbers]
+        for i in np.flatnonzero(numbers[:-1] == 0).tolist():
+            codes[i] = _code(words[i])
+        return numbers, codes
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: runs of letters and digits, lower case."""
+    if not text:
+        return []
+    low = text.lower()
+    if not low.isascii():
+        low = OTHER_SIGN.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(SIGNS_TO_SPACE).split()
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -304,12 +324,12 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared.value, similarity)
 
-            def searched(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                text = np.concatenate(texts)
+            def searched(ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                bounds = np.concatenate([[0], np.cumsum([len(numbers) for numbers, _ in texts])])
+                text, codes = (np.concatenate(parts) for parts in zip(*texts))
                 rows = [
                     (ids[doc], index.items[item][0], distance, len(index.items[item][1]), start, end)
-                    for doc, item, distance, start, end in index.search(text, bounds)
+                    for doc, item, distance, start, end in index.search(text, codes, bounds)
                 ]
                 columns = zip(*rows) if rows else [()] * len(types)
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
@@ -318,8 +338,8 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataF
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids.append(doc_id)
-                    texts.append(np.array(index.numbers(text.as_py()), np.int32))
-                    words += len(texts[-1])
+                    texts.append(index.read(text.as_py()))
+                    words += len(texts[-1][0])
                     if words >= TEXT_WORDS:
                         yield searched(ids, texts)
                         ids, texts, words = [], [], 0
