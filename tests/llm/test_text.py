@@ -2,6 +2,7 @@ import base64
 import random
 import re
 import tracemalloc
+import zlib
 
 import duckdb
 import numpy as np
@@ -178,8 +179,8 @@ def test_decontamination_recall_of_clustered_edits_and_long_items():
                     for k in rng.sample(range(n), e) if kind == "even" else [first[kind] + 2 * k for k in range(e)]:
                         words[k] = "other"
                 words = [f"f{k}" for k in range(rng.randint(0, 100))] + words + ["g"] * rng.randint(0, 100)
-                numbers = np.array(index.numbers(" ".join(words)), np.int32)
-                got += any(r[1] == i for r in index.search(numbers, np.array([0, len(numbers)])))
+                numbers, codes = index.read(" ".join(words))
+                got += any(r[1] == i for r in index.search(numbers, codes, np.array([0, len(numbers)])))
             assert got >= 0.95 * len(items), (n, kind, got)
 
 
@@ -194,9 +195,9 @@ def test_decontamination_of_a_very_long_item():
     assert peak < 200 << 20
     for at in range(0, 6_000, 2):
         words[at] = "other"
-    numbers = np.array(index.numbers(" ".join(["f"] * 50 + words)), np.int32)
+    numbers, codes = index.read(" ".join(["f"] * 50 + words))
     # the first word is an edit, so the part that is nearest starts behind it or with it
-    found = [(r[1], r[2]) for r in index.search(numbers, np.array([0, len(numbers)]))]
+    found = [(r[1], r[2]) for r in index.search(numbers, codes, np.array([0, len(numbers)]))]
     assert found == [(index_of(index, 1), 3_000)]
 
 
@@ -211,3 +212,46 @@ def test_places_of_long_patterns_equal_bits(monkeypatch):
     made = decontam._masks(words)
     assert {w: made.get(w, 0) for w in range(12)} == {w: held.get(w, 0) for w in range(12)}
     assert (2 in made) and (4 not in made)
+
+
+def test_matches_do_not_depend_on_order_blocks_or_partitions(docs, monkeypatch):
+    """Passages edited to the limit, some found and some lost by the sampling: always the same ones."""
+    rng = random.Random(21)
+    items = [(i, [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 60, 90, 150]))]) for i in range(60)]
+    rows = []
+    for i, words in items:
+        held = list(words)
+        for at in rng.sample(range(len(held)), len(held) // 5):
+            held[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join([f"f{rng.randrange(10**6)}" for _ in range(rng.randrange(80))] + held)))
+    texts = docs(rows)
+    asked = [(i, " ".join(words)) for i, words in items]
+    spark = texts.sparkSession
+    found = []
+    for order, partitions, block in ((asked, 1, 500_000), (asked[::-1], 7, 300), (sorted(asked, key=lambda r: r[1]), 13, 2_000)):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        table = spark.createDataFrame(order, "item_id long, text string").repartition(partitions)
+        found.append(sorted(tuple(r) for r in decontam.matches(texts.repartition(partitions), table).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
+def test_a_letter_is_a_letter_of_some_script(docs):
+    """Signs that count as word characters but are no letters are no language; a language of one readable text is learnt."""
+    rows = [(i, "the old house stood near the river", "en", "s", 1) for i in range(300)] + [(i, "1 2 3", "xx", "s", 1) for i in range(300, 900)]
+    learnt = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows += [(learnt, "ñandú ceñía cigüeña pingüino", "es", "s", 1), (2001, "½ ①", None, "s", 1), (2002, "² Ⅷ 3", None, "s", 1), (2003, "el pingüino ñandú", None, "s", 1)]
+    df = docs([]).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df).where("doc_id > 2000").collect()}
+    assert found[2001] == found[2002] == ("und", 0.0) and found[2003][0] == "es"
+
+
+def test_the_quality_sample_is_of_rows(docs, monkeypatch):
+    """Rows without an id are rows of their own; no more than the bound is brought to the driver."""
+    rows = [(None, f"The {i} old houses stood near a river, and nobody knew who had built them.") for i in range(2_000)]
+    rows += [(None, "@@@ ### $$$ %%%")] * 2_000 + [(7, "A b c.")] * 500
+    seen = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda slots, values, targets: seen.append(len(targets)) or fit(slots, values, targets))
+    quality.train(docs(rows), sample_docs=100)
+    quality.train(docs(rows), sample_docs=5_000)
+    assert seen == [100, 2_002]

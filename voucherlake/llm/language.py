@@ -7,19 +7,23 @@ and its kernels with all landmarks, and the scores of all languages, are matrix
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voucherlake.llm.staging import small, staged
+
 #: Labelled documents learnt from, and of those the landmarks, for each language: those with the least hash of doc_id.
 LEARNT, LANDMARKS = 400, 32
+#: Languages learnt: those with most labelled documents (of equals the first by name).
+LANGUAGES = 500
 SIZES, BITS, RIDGE = (1, 2, 3, 4), 15, 1e-2
 CHARS_AT_ONCE, TEXTS_AT_ONCE = 1 << 17, 128
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -108,27 +112,28 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of the labelled documents that are not held out; LEARNT of each language at most are read."""
+    """A model of the labelled documents that are not held out; LEARNT of each of LANGUAGES languages at most are read.
+
+    Rows that repeat a doc_id and language count once. A language with a single readable document is learnt from that.
+    """
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    labelled = docs.where(lang.isNotNull() & ~held_out()).where(text.rlike(r"\p{L}"))
+    labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
+    # each task keeps LEARNT rows of a language before they are shuffled, whatever the language's share
     ranked = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).where(F.col("text").cast("string").rlike(r"\p{L}"))
-    slim = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    # of a large language only hashes in a range that holds about 8 * LEARNT documents are ranked
-    sizes = [(r["lang"], r["count"]) for r in docs.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()]
-    if any(n > 8 * LEARNT for _, n in sizes):
-        share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, 8.0 * LEARNT / n)])
-        slim = slim.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < F.element_at(share, F.col("lang")))
-    chosen = slim.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= LEARNT)
-    # LEARNT rows of three numbers for each language
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "n"))
+    chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= LEARNT)
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("__lang"))
+    # LEARNT rows of three numbers for each of LANGUAGES languages
+    chosen = chosen.join(F.broadcast(common), F.col("lang") == F.col("__lang"), "left_semi")
+    chosen = small(staged(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "n"), "learnt"))
     own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))
-    texts = labelled.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(chosen, own)
+    texts = labelled.join(chosen, own).select("n", "lang", "text").dropDuplicates(["lang", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"n": batch["n"], "lang": batch["lang"], "slots": [grams(t).tolist() for t in batch["text"]]})
 
-    rows = texts.select("n", F.col("lang").cast("string").alias("lang"), "text").mapInPandas(run, "n int, lang string, slots array<int>")
-    rows = rows.dropDuplicates(["lang", "n"]).collect()
+    rows = texts.mapInPandas(run, "n int, lang string, slots array<int>").collect()
     rows.sort(key=lambda r: (r["n"], r["lang"]))
     return Model([(r["lang"], np.array(r["slots"], np.int64)) for r in rows])
 
