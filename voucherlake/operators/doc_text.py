@@ -235,16 +235,16 @@ def company_in(spans: Column) -> Column:
     return T.let(F.transform(spans, lambda s: s["t"]), _company_of)
 
 
-def _company_of(texts: Column) -> Column:
-    named = first_known(F.transform(texts, T.company_name))
+def plain_company(text: Column) -> Column:
+    """A text that says it is a company and is no label, tax id or total; else null."""
+    blocked = text.isin(*[b for b in PARTY_BLOCKED if len(b) == 1]) | T.any_term(text, [b for b in PARTY_BLOCKED if len(b) > 1])
+    return F.when(
+        T.has_han(text) & (F.length(text) > 1) & ~text.rlike(T.TAX_ID_PATTERN) & ~blocked
+        & T.any_term(text, ("公司", "有限公司", "经营部", "分公司")), text)
 
-    def plain(text: Column) -> Column:
-        blocked = text.isin(*[b for b in PARTY_BLOCKED if len(b) == 1]) | T.any_term(text, [b for b in PARTY_BLOCKED if len(b) > 1])
-        return F.when(
-            T.has_han(text) & (F.length(text) > 1) & ~text.rlike(T.TAX_ID_PATTERN) & ~blocked
-            & T.any_term(text, ("公司", "有限公司", "经营部", "分公司")), text)
 
-    return F.coalesce(named, first_known(F.transform(texts, plain)))
+def _company_of(texts: Column) -> Column:
+    return F.coalesce(first_known(F.transform(texts, T.company_name)), first_known(F.transform(texts, plain_company)))
 
 
 def tax_id_in(spans: Column) -> Column:

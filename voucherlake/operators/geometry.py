@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voucherlake.functions import money as M
 from voucherlake.functions import text as T
 from voucherlake.functions.money import MONEY
+from voucherlake.operators.doc_text import plain_company
 from voucherlake.operators.ordered import running_sum
 
 
@@ -181,6 +182,73 @@ def column_parties(units: DataFrame) -> DataFrame:
     return ids.select("unit_id", "field", "value").unionByName(names)
 
 
+def band_parties(units: DataFrame, rule: dict) -> DataFrame:
+    """Names and tax ids of the two parties: what stands in a band of heights, left and right of a share of the page's width.
+
+    rule: split_x_ratio, name_band and tax_band (min_y, max_y; terms of exclude_terms are no name). The first company name of a
+    side counts, from top to bottom, else the first plain text that says it is a company; the first tax id of a side.
+    """
+    boxed = units.filter(has_box() & (F.trim("text") != "")).withColumn("_cy", center_y())
+    width = boxed.groupBy("unit_id").agg(F.max("x1").alias("_width")).filter("_width <> 0")
+    left = F.col("x0") < F.col("_width") * float(rule["split_x_ratio"])
+    sided = boxed.join(width, "unit_id").withColumn("_side", F.when(left, F.lit("buyer")).otherwise(F.lit("seller")))
+    place = F.struct("_cy", "x0", "ord")
+
+    def within(band: dict) -> Column:
+        return F.col("_cy").between(float(band["min_y"]), float(band["max_y"]))
+
+    def first(value: Column) -> Column:
+        return F.min_by(value, F.when(value.isNotNull(), place))
+
+    terms = [t for t in rule["name_band"].get("exclude_terms", []) if t]
+    named = within(rule["name_band"]) & (~T.any_term(F.col("text"), terms) if terms else F.lit(True))
+    name, plain = F.when(named, T.company_name(F.col("text"))), F.when(named, plain_company(F.trim("text")))
+    tax = F.when(within(rule["tax_band"]), F.try_element_at(T.tax_ids(F.col("text")), F.lit(1)))
+    found = sided.filter(named | within(rule["tax_band"])).groupBy("unit_id", "_side").agg(
+        F.coalesce(first(name), first(plain)).alias("name"), first(tax).alias("tax_id"))
+    both = F.array(*[F.struct(F.concat("_side", F.lit(f"_{n}")).alias("field"), F.col(n).alias("value")) for n in ("name", "tax_id")])
+    return found.select("unit_id", F.explode(both).alias("_f")).select("unit_id", "_f.*").filter("value is not null")
+
+
+def sub_table_rows(units: DataFrame, header_aliases: dict[str, list[str]], triggers: Sequence[str], stops: Sequence[str]) -> DataFrame:
+    """(unit_id, row_no, columns): rows of a second table on the page, with headers of its own.
+
+    All triggers must be printed as texts. The header row is the height with most known headers, as many as triggers at least.
+    A text below it belongs to the nearest header by its centre, within half the smallest distance of two headers; the table
+    ends one header height above the first text below that holds a stop word. A row has as many columns as there are triggers.
+    """
+    columns = header_columns(header_aliases)
+    lookup = F.create_map(*[F.lit(x) for pair in columns.items() for x in pair])
+    compact = T.compact(F.col("text"))
+    rows = units.filter(F.trim("text") != "").withColumn("_y", F.bround("y0").cast("int")).withColumn("_column", F.try_element_at(lookup, compact))
+    wanted = ["".join(t.split()) for t in triggers]
+    due = rows.filter(compact.isin(*wanted)).groupBy("unit_id").agg(F.count_distinct(compact).alias("_n")).filter(F.col("_n") == len(set(wanted)))
+    order = F.struct("page", "ord")
+    heads = rows.filter("_column is not null").join(due.select("unit_id"), "unit_id", "left_semi")
+    centres = heads.groupBy("unit_id", "_y", "_column").agg(
+        F.max_by(center_x(), order).alias("_c"), F.min(order).alias("_at"), F.max("y1").alias("_low"), F.max(F.col("y1") - F.col("y0")).alias("_tall"))
+    levels = centres.groupBy("unit_id", "_y").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_at"), F.max("_low").alias("bottom"), F.max("_tall").alias("tall"),
+        F.sort_array(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_column").alias("column")))).alias("anchors"))
+    ranked = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("_n"), "_at"))
+    head = levels.withColumn("_rank", ranked).filter((F.col("_rank") == 1) & (F.col("_n") >= len(wanted))).select(
+        "unit_id", F.col("_y").alias("header_y"), "bottom", "tall", "anchors")
+    framed = rows.join(head, "unit_id")
+    stop = F.min(F.when((F.col("y0") > F.col("header_y")) & T.any_term(F.col("text"), stops), F.col("y0")))
+    limits = framed.groupBy("unit_id").agg((F.coalesce(stop, F.max("y1") + 1) - F.first("tall")).alias("limit"))
+    gaps = F.transform(F.slice("anchors", 2, F.size("anchors")), lambda a, i: a["c"] - F.get("anchors", i)["c"])
+    reach = F.coalesce(F.array_min(gaps) / 2, F.lit(45.0))
+    away = F.transform("anchors", lambda a: F.struct(F.abs(a["c"] - center_x()).alias("d"), a["c"].alias("c"), a["column"].alias("column")))
+    inside = framed.join(limits, "unit_id").filter((F.col("y0") > F.col("bottom")) & (F.col("y0") < F.col("limit")))
+    near = inside.withColumn("_near", F.array_min(away)).filter(F.col("_near.d") <= reach)
+    names = list(dict.fromkeys(columns.values()))
+    cells = near.groupBy("unit_id", "_y").agg(*[
+        F.max_by(F.trim("text"), F.when(F.col("_near.column") == n, order)).alias(n) for n in names])
+    filled = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    kept = cells.filter(filled >= len(wanted))
+    return running_sum(kept, ["unit_id"], ["_y"], F.lit(1), "row_no", size=1000).select("unit_id", F.col("row_no").cast("int").alias("row_no"), *names)
+
+
 # ---- table items ---------------------------------------------------------
 
 def header_columns(header_aliases: dict[str, list[str]]) -> dict[str, str]:
@@ -223,16 +291,25 @@ def assign_columns(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def table_end(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """(unit_id, page, end_y): first row below the header that says 合计, 小计 or 备注."""
+    """(unit_id, page, end_y): top of the first row below the header that says 合计, 小计 or 备注.
+
+    An amount printed up to one and a half median heights above belongs to that row: the end is then its top.
+    """
     below = rows.join(headers, ["unit_id", "page"]).filter("anchor > header_y")
     texts = visual_lines(below).withColumn("_t", T.compact(F.col("text")))
-    return texts.filter(T.any_term(F.col("_t"), ("合计", "小计", "备注"))).groupBy("unit_id", "page").agg(F.min("anchor").alias("end_y"))
+    ends = texts.filter(T.any_term(F.col("_t"), ("合计", "小计", "备注"))).groupBy("unit_id", "page").agg(F.min_by("y0", "anchor").alias("end_y"))
+    height = F.col("y1") - F.col("y0")
+    heights = rows.groupBy("unit_id", "page").agg(F.median(F.when(height > 0, height)).alias("_height"))
+    gap = F.coalesce(F.col("_height") * 1.5, F.lit(15.0))
+    above = rows.filter(M.is_money(F.trim("text"))).join(ends, ["unit_id", "page"]).join(heights, ["unit_id", "page"])
+    pulled = above.filter(F.col("y0").between(F.col("end_y") - gap, F.col("end_y"))).groupBy("unit_id", "page").agg(F.min("y0").alias("_pulled"))
+    return ends.join(pulled, ["unit_id", "page"], "left").select("unit_id", "page", F.least("end_y", "_pulled").alias("end_y"))
 
 
 def segment_items(rows: DataFrame, headers: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of the item area with `item_no`: a `*` text left of the name edge opens a new item."""
     area = rows.join(headers, ["unit_id", "page"]).join(ends, ["unit_id", "page"], "left").filter(
-        (F.col("anchor") > F.col("header_y")) & (F.col("anchor") < F.coalesce("end_y", F.lit(float("inf")))))
+        (F.col("anchor") > F.col("header_y")) & (F.col("y0") < F.coalesce("end_y", F.lit(float("inf")))))
     name_edge = edges.filter("column = 'item_name'").select("unit_id", F.col("right").alias("_edge"))
     area = area.join(name_edge, "unit_id", "left")
     start = F.col("text").startswith("*") & (center_x() <= F.coalesce("_edge", F.lit(float("inf"))))

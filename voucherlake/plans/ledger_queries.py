@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voucherlake.functions import keys as K
@@ -227,6 +228,47 @@ def missing_required(spark, sf):
     return checks.missing_required(invoices, fx.lines(spark, sf), REQUIRED)
 
 
+EVIDENCE_FIELDS = ["invoice_no", "buyer_name", "unit_price", "item_name", "total_with_tax"]
+
+
+@query("field_evidence", f"""
+WITH {LINES_SQL}, {INVOICES_SQL}, has_lines AS (SELECT DISTINCT unit_id FROM lines),
+f AS (SELECT i.*, h.unit_id IS NOT NULL AS has FROM invoices i LEFT JOIN has_lines h USING (unit_id)),
+found AS (
+  SELECT unit_id, 0 AS place, 4 AS pos, 'low confidence invoice_no' AS text FROM f WHERE o_orderstatus = 'O'
+  UNION ALL SELECT unit_id, 1, 0, 'missing evidence buyer_name' FROM f WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND buyer_name IS NOT NULL
+  UNION ALL SELECT unit_id, 3, 1, 'conflict item_name' FROM f WHERE has AND o_orderpriority <> '5-LOW' AND o_orderstatus = 'P'
+  UNION ALL SELECT unit_id, 3, 4, 'low confidence item_name' FROM f WHERE has AND o_orderpriority = '3-MEDIUM'
+  UNION ALL SELECT unit_id, 3, 0, 'missing evidence item_name' FROM f WHERE has AND o_orderpriority = '5-LOW'
+  UNION ALL SELECT unit_id, 4, 0, 'missing evidence total_with_tax' FROM f
+  UNION ALL SELECT unit_id, 5, 1, 'conflict seller_name' FROM f WHERE o_orderpriority = '4-NOT SPECIFIED'
+  UNION ALL SELECT unit_id, 6, 1, 'conflict items' FROM f WHERE has AND o_orderpriority <> '5-LOW' AND o_orderstatus = 'P'
+  UNION ALL SELECT unit_id, 6, 4, 'low confidence items' FROM f WHERE has AND o_orderpriority = '3-MEDIUM')
+SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY place, pos) AS nth, text FROM found""")
+def field_evidence(spark, sf):
+    """Orders with a decision on the number, mostly one on the buyer and one on the lines, and none on the total."""
+    invoices = fx.invoices(spark, sf)
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+
+    def decided(field, when, confidence=F.lit(0.9), evidence="line", conflict=F.lit(False), risks=F.array().cast("array<string>")):
+        evidence = F.lit(evidence) if isinstance(evidence, str) else evidence
+        return F.when(when, F.struct(F.lit(field).alias("field"), confidence.alias("confidence"), evidence.alias("evidence"), conflict.alias("conflict"), risks.alias("risks")))
+
+    made = F.array(
+        decided("invoice_no", F.lit(True), F.when(status == "O", 0.5).otherwise(0.9)),
+        decided("buyer_name", priority != "1-URGENT", evidence=F.when(priority == "2-HIGH", F.lit(" ")).otherwise(F.lit("line"))),
+        decided("items", priority != "5-LOW", conflict=status == "P", risks=F.when(priority == "3-MEDIUM", F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>"))),
+        decided("seller_name", F.lit(True), conflict=priority == "4-NOT SPECIFIED"),
+        decided("spec_model", F.lit(True), evidence=""),
+    )
+    decisions = invoices.select("unit_id", F.explode(F.filter(made, lambda d: d.isNotNull())).alias("d")).select("unit_id", "d.*")
+    lines = fx.lines(spark, sf)
+    required = checks.required_list({("standard-invoice", None): EVIDENCE_FIELDS})
+    found = checks.field_evidence(checks.present_fields(invoices, lines), decisions, required, F.lit(True), lines.columns)
+    nth = F.row_number().over(Window.partitionBy("unit_id").orderBy("seq"))
+    return found.select("unit_id", nth.alias("nth"), "text")
+
+
 @query("identity_issues", f"""
 WITH {INVOICES_SQL}, odd AS (SELECT * REPLACE (
    CASE WHEN o_orderstatus = 'O' THEN substr(invoice_no, 5) ELSE invoice_no END AS invoice_no,

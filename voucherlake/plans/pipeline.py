@@ -6,13 +6,14 @@ shuffle is on unit_id, over candidates and lines, not over texts.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlake.operators import candidates as C
-from voucherlake.operators import checks, ledger, notices, reports, vat
+from voucherlake.operators import checks, ledger, notices, placed, reports, vat
 from voucherlake.operators.extract import extract, item_rows
 from voucherlake.operators.routing import route
 from voucherlake.rules.catalog import VAT_RULES
@@ -50,14 +51,20 @@ def recognise(docs: DataFrame, rules: dict[str, dict] | None = None, keep: bool
     carried += [
         (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"input_{c}") for c in ("status", "remark")]
     extracted = extract(routed, rules).select(
-        *carried, "schema_id", "variant_id", "route_confidence", "decision", "route_reason", "found", "items")
+        *carried, "schema_id", "variant_id", "route_confidence", "decision", "route_reason", "found", "items", "context")
     return staged(extracted, "extracted") if keep else extracted
 
 
-def records(extracted: DataFrame) -> Records:
-    """Resolve candidates to headers; a document that matched nothing is unmodeled."""
-    found = C.upsert(C.long_candidates(extracted, "found"))
-    lines = item_rows(extracted)
+def records(extracted: DataFrame, by_place: placed.Placed | None = None) -> Records:
+    """Resolve candidates to headers; a document that matched nothing is unmodeled.
+
+    by_place: what the boxes of the documents tell; its candidates join the others, its lines compete with theirs.
+    """
+    read = C.long_candidates(extracted, "found")
+    found, lines = C.upsert(read if by_place is None else read.unionByName(by_place.candidates)), item_rows(extracted)
+    if by_place is not None:
+        found = C.low_confidence_risks(found, by_place.read)
+        lines = staged(placed.chosen_lines(lines, by_place, read, extracted.select("unit_id", "context")), "chosen")
     decisions = C.resolve(found)
     header = C.header_fields(decisions)
     line_scores = lines.select("unit_id", "confidence")
@@ -89,7 +96,9 @@ def check(recs: Records, rules: dict[str, dict] | None = None, structured: bool
     issues = checks.prior_issues(invoices).unionByName(checks.missing_required(invoices, lines, required))
     if not structured:
         present = checks.present_fields(invoices, lines)
-        issues = issues.unionByName(checks.evidence_issues(recs.decisions, present))
+        proven = F.col("schema_id").isin(*checks.proven_schemas(rules)) if checks.proven_schemas(rules) else F.lit(False)
+        line_fields = [c for c in lines.columns if c != "unit_id"]
+        issues = issues.unionByName(checks.field_evidence(present, recs.decisions, checks.required_list(required), proven, line_fields))
     issues = (
         issues.unionByName(checks.variant_issues(invoices, family)).unionByName(checks.party_issues(invoices))
         .unionByName(checks.missing_items(invoices.filter(F.col("schema_id").isin(with_lines)), lines))
@@ -111,9 +120,11 @@ def _kept(recs: Records, keep: bool) -> Records:
 
 def process(docs: DataFrame, run_id: str, processed_at: str, rules: dict[str, dict] | None = None,
             vat_rules: list[dict] | None = None, keep: bool = True) -> Outcome:
-    """Documents to ledger rows and notices."""
+    """Documents to ledger rows and notices. Documents with `spans` are also read by the places of their texts."""
     rules = rules or shipped()
-    recs = _kept(records(recognise(docs, rules, keep)), keep)
+    extracted = recognise(docs, rules, keep)
+    by_place = placed.read(docs, extracted, rules) if "spans" in docs.columns else None
+    recs = _kept(records(extracted, by_place), keep)
     applicable = [r for r in (VAT_RULES if vat_rules is None else vat_rules) if set(r["schema_ids"]) & set(rules)]
     if applicable:
         invoices, lines = vat.apply_vat_rules(recs.invoices, recs.lines, applicable, ["line_no"])
@@ -134,17 +145,24 @@ def summary(outcome: Outcome, added: DataFrame | None = None) -> DataFrame:
     return reports.run_summary(outcome.rows, units, added)
 
 
-def append_outcome(outcome: Outcome, path: str, run_id: str, spread: int = 1 << 40) -> DataFrame:
+def append_outcome(outcome: Outcome, path: str, run_id: str, spread: int = 1 << 40, batch_id: str | None = None) -> DataFrame:
     """Write a processed batch: ledger rows, notices (also of repeated rows), evidence and counters.
 
     Documents are spread over `spread` positions by a hash of their id, which fixes the order of
-    the row numbers. Returns what happened to every identity of the batch.
+    the row numbers. Returns what happened to every identity of the batch. A batch with a name may be written
+    again after a failure at any place: it counts once. Rows that do not meet the output contract are refused.
     """
     order = ["doc", "line_no", "invoice_line_key"]
     rows = outcome.rows.withColumn("doc", F.pmod(F.xxhash64("unit_id"), F.lit(spread)))
-    judged = sinks.append_ledger(rows, path, order)
-    sinks.append_notices(outcome.notices.unionByName(notices.duplicate_notices(judged, order)), path)
-    sinks.write_evidence(run_id, path, outcome.rows, outcome.records.invoices, lines=outcome.records.lines,
-                         decisions=outcome.records.decisions, issues=outcome.issues)
-    sinks.write_run_summary(summary(outcome, judged), run_id, path)
+    name = batch_id or uuid.uuid4().hex
+
+    def told(judged: DataFrame) -> DataFrame:
+        return outcome.notices.unionByName(notices.duplicate_notices(judged, order))
+
+    def evidence(batch: str) -> None:
+        sinks.write_evidence(run_id, path, outcome.rows, outcome.records.invoices, batch, lines=outcome.records.lines,
+                             decisions=outcome.records.decisions, issues=outcome.issues)
+
+    judged = sinks.append_batch(rows, path, order, name, run_id, told, evidence, contract=True)
+    sinks.write_run_summary(summary(outcome, judged), run_id, path, name)
     return judged
