@@ -45,10 +45,13 @@ def _write_keys(numbered: DataFrame, path: str, batch_id: str) -> None:
     commits.write(keys, path, "keys", batch_id, ("bucket",), **BLOOM)
 
 
-def require_contract(rows: DataFrame, profile: dict = ledger.OUTPUT_PROFILE) -> None:
+DETAIL = {"detail": ledger.OUTPUT_PROFILE["detail"]}
+
+
+def require_contract(rows: DataFrame, profile: dict = DETAIL) -> None:
     """Refuse a batch whose output lacks a table, a required column, or has one twice; nothing has been written then.
 
-    The headers checked are those the batch would be printed under. row_sequence is given by the append itself.
+    The headers checked are those the rows would be printed under. row_sequence is given by the append itself.
     """
     spark = rows.sparkSession
     shown = ledger.output_values(ledger_fingerprint_columns(rows)).withColumn("row_sequence", F.lit(0).cast("bigint"))
