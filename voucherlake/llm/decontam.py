@@ -124,7 +124,10 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 def _code(word: bytes) -> int:
     """64 bits of a word, the same in every block of items."""
-    return xxhash.xxh3_64_intdigest(word, SEED)
+    return _digest(word, SEED)
+
+
+_digest = xxhash.xxh3_64_intdigest
 
 
 class Index:
@@ -268,8 +271,8 @@ class Index:
         words = words_of(text)
         numbers = np.array([*map(self.raw_number.get, words, repeat(0)), 0], np.int32)
         codes = self.codes[numbers]
-        for i in np.flatnonzero(numbers[:-1] == 0).tolist():
-            codes[i] = _code(words[i])
+        foreign = np.flatnonzero(numbers[:-1] == 0)
+        codes[foreign] = np.fromiter((_digest(words[i], SEED) for i in foreign.tolist()), np.uint64, len(foreign))
         return numbers, codes
 
 
