@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voucherlake.operators import dedup, ledger, notices, reports
-from voucherlake.session import staged
+from voucherlake.session import keyed, staged
 from voucherlake.sources import commits
 
 #: Key files are parted by a hash of the key, sorted and with Bloom filters, so that a lookup reads what may hold its keys.
@@ -152,7 +152,7 @@ def write_evidence(run_id: str, path: str, rows: DataFrame, invoices: DataFrame,
     told = None
     for name, part in {"ledger_rows": rows, "invoice_record": invoices, **parts}.items():
         payload = F.to_json(F.struct(*[F.col(c) for c in part.columns if c != "unit_id"]))
-        kept = part.join(units, "unit_id", "left_semi").select(
+        kept = part.join(keyed(units), "unit_id", "left_semi").select(
             F.col("unit_id").cast("string").alias("unit_id"), payload.alias("payload"), F.lit(run_id).alias("run_id"), F.lit(name).alias("part"))
         told = kept if told is None else told.unionByName(kept)
     commits.write(told, path, "evidence", batch_id or uuid.uuid4().hex, ("run_id", "part"), "json")
