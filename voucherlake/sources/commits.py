@@ -50,9 +50,19 @@ def write(df: DataFrame, path: str, table: str, batch_id: str, keys: tuple[str,
     spark, folder = df.sparkSession, f"{path}/{table}"
     leftover = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{BATCH}={_escaped(spark, batch_id)}")
     leftover.getFileSystem(spark._jsc.hadoopConfiguration()).delete(leftover, True)
+    if form == "parquet":
+        options = {"compression": "zstd"} | options
     part.write.mode("append").partitionBy(BATCH, *keys).options(**options).format(form).save(folder)
 
 
+def written(df: DataFrame, path: str, table: str, batch_id: str, keys: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write a batch's part of a table and read back the columns of `df` from it, before the batch is committed."""
+    write(df, path, table, batch_id, keys, **options)
+    wanted = StructType([*df.schema, StructField(BATCH, StringType())])
+    part = df.sparkSession.read.schema(wanted).parquet(f"{path}/{table}").filter(F.col(BATCH) == batch_id)
+    return part.select(*df.columns)
+
+
 def _escaped(spark: SparkSession, value: str) -> str:
     """A partition value as Spark writes it in a path."""
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)

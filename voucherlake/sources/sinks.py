@@ -33,8 +33,11 @@ def known_keys(batch: DataFrame, path: str) -> DataFrame:
     Only the key table is read: buckets that the batch has no key of are pruned, files by their Bloom filters.
     """
     spark = batch.sparkSession
+    nothing = spark.createDataFrame([], KEY_SCHEMA)
+    if not commits.exists(spark, f"{path}/keys"):
+        return dedup.merged_keys(nothing)
     asked = dedup.identity_keys(batch).withColumn("bucket", _bucket())
-    stored = commits.read(spark, path, "keys", spark.createDataFrame([], KEY_SCHEMA))
+    stored = commits.read(spark, path, "keys", nothing)
     hit = stored.join(asked, ["bucket", "kind", "key"], "left_semi")
     return dedup.merged_keys(hit)
 
@@ -82,18 +85,16 @@ def append_batch(
         require_contract(batch)
     kept = staged(dedup.with_fingerprint(ledger_fingerprint_columns(batch)), "batch")
     keys = staged(known_keys(kept, path), "known")
-    judged = staged(dedup.dedup(kept, keys, order, [c for c in dedup.CARRIED if c in kept.columns]), "judged")
+    judged = commits.written(dedup.dedup(kept, keys, order, [c for c in dedup.CARRIED if c in kept.columns]), path, "judged", batch_id)
     before = commits.last_row(spark, path)
     fresh = staged(dedup.new_rows(kept, keys, order, judged), "fresh")
     numbered = ledger.number_rows(fresh, order, before).withColumn("row_sequence", F.col("row_sequence").cast("bigint"))
-    numbered = staged(numbered.select(*kept.columns, "row_sequence"), "numbered")
-    commits.write(numbered, path, "rows", batch_id, ("run_id",) if "run_id" in numbered.columns else ())
+    numbered = commits.written(numbered.select(*kept.columns, "row_sequence"), path, "rows", batch_id, ("run_id",) if "run_id" in kept.columns else ())
     _write_keys(numbered, path, batch_id)
     if told is not None:
         _write_notices(told(judged), path, batch_id)
     if evidence is not None:
         evidence(batch_id)
-    commits.write(judged, path, "judged", batch_id)
     last, added = numbered.agg(F.max("row_sequence"), F.count(F.lit(1))).first()
     commits.commit(spark, path, batch_id, run_id, last or before, added)
     return judged
