@@ -1,10 +1,15 @@
 """Steps whose cost must follow the input: joins by unit, and folds over the lines of a document."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from voucherlake.functions import text as T
 from voucherlake.operators import geometry as G
 from voucherlake.operators import items as I
+from voucherlake.operators import placed
 from voucherlake.operators.extract import visual_totals
+from voucherlake.plans import document_queries, source_queries
 
 SPAN = "unit_id long, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
@@ -36,3 +41,78 @@ def test_lines_without_a_digit_between_items(spark):
     units, specs = F.array(F.lit("个")), F.array().cast("array<string>")
     (row,) = docs.select(I.sequence_items(F.col("lines"), units, specs).alias("i")).collect()
     assert [(i.item_name, i.line_amount, i.line_tax_amount) for i in row.i] == [("*商品*甲续名", "10.00", "1.30"), ("*商品*乙", "5.00", "0.65")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+
+
+def order_rows(spark, folder, n):
+    day = datetime.date(1995, 1, 2)
+    rows = [(i, i % 7, "F", 100.0 + i, day, "1-URGENT") for i in range(n)]
+    spark.createDataFrame(rows, ORDER).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_parts_of_documents_follow_their_number(spark, tmp_path, monkeypatch):
+    folder = order_rows(spark, tmp_path, 90)
+    monkeypatch.setattr(document_queries, "TASK_DOCUMENTS", 10, raising=False)
+    found = document_queries.orders(spark, folder)
+    assert found.rdd.getNumPartitions() >= 9 and found.count() == 90
+
+
+PARTIES = [("购 买 方", 20.0, 100.0), ("销售方信息", 310.0, 100.0), ("名称：甲乙有限公司", 50.0, 100.0), ("名称：丙丁公司", 340.0, 100.0),
+           ("识别号：91B000000000000001", 50.0, 120.0), ("识别号：91S000000000000001", 340.0, 120.0), ("项目名称", 50.0, 200.0), ("戊己公司", 50.0, 230.0)]
+FOUND = {("buyer_name", "甲乙有限公司"), ("seller_name", "丙丁公司"), ("buyer_tax_id", "91B000000000000001"), ("seller_tax_id", "91S000000000000001")}
+
+
+def test_party_columns_shuffle_spans_once(spark):
+    rows = [(u, 1, i, t, x, y, x + 100, y + 12, None) for u in (1, None) for i, (t, x, y) in enumerate(PARTIES)]
+    # Without a table below, a name under the first tax id of its column is none.
+    rows += [(2, 1, i, t, x, y, x + 100, y + 12, None) for i, (t, x, y) in enumerate(PARTIES[:2] + PARTIES[4:6] + [("庚辛公司", 50.0, 150.0)])]
+    found = G.column_parties(spark.createDataFrame(rows, SPAN))
+    assert {(r.field, r.value) for r in found.filter("unit_id = 1").collect()} == FOUND
+    assert {r.field for r in found.filter("unit_id = 2").collect()} == {"buyer_tax_id", "seller_tax_id"}
+    assert found.filter("unit_id is null").count() == 0
+    assert "Join" not in plan(found) and plan(found).count("Exchange") == 1
+
+
+def test_spans_carry_the_kinds_of_their_unit(spark):
+    docs = spark.createDataFrame(
+        [(u, [(1, 1, "甲", 1.0, 1.0, 9.0, 9.0, None)]) for u in ("a", "a", "b", "c", None)],
+        "unit_id string, spans array<struct<page:int,ord:int,t:string,x0:double,y0:double,x1:double,y1:double,confidence:double>>")
+    kinds = spark.createDataFrame(
+        [("a", "x", None, "ocr"), ("a", "y", "v", "pdf"), ("b", "y", None, "pdf"), (None, "y", "v", "pdf")],
+        "unit_id string, schema_id string, variant_id string, source string")
+    spans = placed.span_table(docs, kinds)
+
+    def units(test):
+        return sorted(r.unit_id for r in placed._of(spans, test).collect())
+
+    assert units(placed._typed(["y"])) == ["a", "a", "b"] and units(placed._typed(["y"], "v")) == ["a", "a"]
+    assert units(lambda kind: kind["source"] == "ocr") == ["a", "a"] and units(placed._typed(["z"])) == []
+
+
+def test_end_of_a_second_table_is_told_without_a_join(spark):
+    printed = [("甲", 0.0, 10.0), ("乙", 100.0, 10.0), ("一", 0.0, 30.0), ("二", 100.0, 30.0), ("备注", 0.0, 60.0), ("三", 0.0, 80.0), ("四", 100.0, 80.0)]
+    spans = spark.createDataFrame([(u, 1, i, t, x, y, x + 20, y + 10, None) for u in (1, 2) for i, (t, x, y) in enumerate(printed)], SPAN)
+    found = G.sub_table_rows(spans, {"p": ["甲"], "q": ["乙"]}, ["甲", "乙"], ["备注"])
+    assert sorted((r.unit_id, r.row_no, r.p, r.q) for r in found.collect()) == [(1, 1, "一", "二"), (2, 1, "一", "二")]
+    # One join takes the header to the rows; before, limits took a second, and the numbering did all twice.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_identity_words_in_any_line(spark):
+    rows = spark.createDataFrame([("纳税人 识别号 ab12",), ("身份证abc",), ("发票号码 AB",), (None,)], "t string")
+    found = rows.select(T.identity_context(F.col("t")).alias("f"))
+    assert [r.f for r in found.collect()] == [True, True, False, None]
+    assert "upper" not in plan(found)
+
+
+def test_checks_of_structured_records_do_not_read_the_xml_again(spark, tmp_path):
+    found = source_queries.structured_checks(spark, order_rows(spark, tmp_path, 3))
+    assert found.count() == 3
+    assert "regexp_extract_all" not in found._jdf.queryExecution().analyzed().toString()
