@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from voucherlake.functions import text as T
+from voucherlake.operators import checks
 from voucherlake.operators import geometry as G
 from voucherlake.operators import items as I
 from voucherlake.operators import placed
@@ -116,3 +117,23 @@ def test_checks_of_structured_records_do_not_read_the_xml_again(spark, tmp_path)
     found = source_queries.structured_checks(spark, order_rows(spark, tmp_path, 3))
     assert found.count() == 3
     assert "regexp_extract_all" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_amount_checks_read_headers_and_lines_once(spark, tmp_path):
+    money = "decimal(18,2)"
+    invoices = spark.sql("select 'u' unit_id, 's' schema_id union all select 'v', 't' union all select 'w', null").selectExpr(
+        "*", f"cast(1 as {money}) amount_total", f"cast(null as {money}) tax_total", f"cast(3 as {money}) total_with_tax")
+    lines = spark.sql(f"""select id unit_id, 1 line_no, cast(2 as {money}) line_amount, cast(1 as {money}) line_tax_amount,
+        cast(9 as {money}) line_total_with_tax, cast(5 as {money}) quantity, cast(5 as {money}) unit_price from values ('u'), ('u'), ('v'), (null) t(id)""")
+    for name, table in (("invoices", invoices), ("lines", lines)):
+        table.write.parquet(f"{tmp_path}/{name}")
+    invoices, lines = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("invoices", "lines"))
+    found = checks.amount_checks(invoices, lines, {"s": list(checks.AMOUNT_CHECKS)})
+    # Headers once; lines for their own checks and for the sums.
+    assert plan(found).count("FileScan") == 3
+    remarks = {r.unit_id: (r.n_issues, r.issue_remark) for r in checks.issue_remarks(found, once=True).collect()}
+    line = "line 1: line_amount + line_tax_amount != line_total_with_tax; line 1: quantity * unit_price != line_amount"
+    assert remarks["u"] == (4, f"incomplete amount breakdown: missing tax_total; {line}; sum line_amount != amount_total")
+    assert remarks["v"] == remarks[None] == (2, line) and "w" not in remarks
+    again = {r.unit_id: r.n_issues for r in checks.issue_remarks(found).collect()}
+    assert again["u"] == remarks["u"][0] + 2 and again["v"] == 2
