@@ -5,12 +5,14 @@ import datetime
 from pyspark.sql import functions as F
 
 from voucherlake.functions import text as T
+from voucherlake.functions import keys as K
 from voucherlake.operators import checks
 from voucherlake.operators import geometry as G
 from voucherlake.operators import items as I
+from voucherlake.operators import ledger
 from voucherlake.operators import placed
 from voucherlake.operators.extract import visual_totals
-from voucherlake.plans import document_queries, source_queries
+from voucherlake.plans import document_queries, ledger_queries, source_queries
 
 SPAN = "unit_id long, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
@@ -137,3 +139,33 @@ def test_amount_checks_read_headers_and_lines_once(spark, tmp_path):
     assert remarks["v"] == remarks[None] == (2, line) and "w" not in remarks
     again = {r.unit_id: r.n_issues for r in checks.issue_remarks(found).collect()}
     assert again["u"] == remarks["u"][0] + 2 and again["v"] == 2
+
+
+def test_a_summary_builds_only_the_columns_asked_for(spark, tmp_path):
+    rows = [("a", "明细", 2, "x"), ("a", "明细", 1, "y"), ("b", "明细", 1, "x"), ("b", "汇总", 3, "y"), ("b", "汇总", 4, "z"), (None, None, None, "n"), (None, "明细", 7, "m")]
+    spark.createDataFrame(rows, "invoice_key string, row_type string, line_no int, remark string").write.parquet(f"{tmp_path}/rows")
+    found = ledger.invoice_summary(spark.read.parquet(f"{tmp_path}/rows"), ["line_no"])
+    shown = {tuple(r) for r in found.select("invoice_key", "line_no", "remark").collect()}
+    assert shown == {("a", 1, "y"), ("b", 4, "z"), (None, None, "n")}
+    assert "remark" not in plan(found.select("invoice_key", "line_no"))
+
+
+def test_fingerprints_of_amounts_drop_closing_zeros(spark):
+    values = ["10.50", "10.00", "100.00", "0.00", "-0.10", "10.05", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast("decimal(18,2)").alias("line_amount"))
+    plain = spark.createDataFrame([(v,) for v in ("10.5", "10", "100", "0", "-0.1", "10.05", "")], "line_amount string")
+    said = [r.f for r in rows.select(K.row_fingerprint(rows).alias("f")).collect()]
+    assert said == [r.f for r in plain.select(K.row_fingerprint(plain).alias("f")).collect()] and said[-1] is None
+
+
+def test_rows_to_number_are_not_joined_again(spark, tmp_path, monkeypatch):
+    """Numbering reads its rows three times; the joins that made them are done once."""
+    folder = order_rows(spark, tmp_path, 5)
+    spark.sql("select cast(id as long) c_custkey, concat('c', id) c_name from range(7)").write.parquet(f"{folder}/customer.parquet")
+    spark.sql("""select id % 5 l_orderkey, id l_partkey, id l_suppkey, cast(id % 3 as int) l_linenumber, 2D l_quantity, 10D l_extendedprice, 0.1D l_discount,
+        0.05D l_tax, 'N' l_returnflag, 'O' l_linestatus, if(id < 6, timestamp'1996-05-01', timestamp'1998-05-01') l_shipdate from range(10)""").write.parquet(f"{folder}/lineitem.parquet")
+    given, number = [], ledger.number_rows
+    monkeypatch.setattr(ledger, "number_rows", lambda rows, order: given.append(rows) or number(rows, order))
+    history, _ = ledger_queries._history(spark, folder)
+    assert "Join" not in plan(given[0])
+    assert sorted(r.row_sequence for r in history.collect()) == [1, 2, 3, 4, 5, 6]
